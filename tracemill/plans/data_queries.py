@@ -28,7 +28,7 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(drift.headers(table(spark, sf_dir, "raw_results")))
+    return drift.changes(*drift.headers(table(spark, sf_dir, "raw_results")))
 
 
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
