@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, consensus, mixture
+from tracemill.llm import bpe, consensus, mixture, truncation
 from tracemill.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found(table(spark, sf_dir, "results"), table(spark, sf_dir, "cases"))
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, cases = table(spark, sf_dir, "results"), table(spark, sf_dir, "cases")
+    return truncation.shares(results, cases, truncation.found(results, cases))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.consensus(table(spark, sf_dir, "audit_labels")).where("consensus").select("audit_id")
 
@@ -32,5 +41,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(mixture.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_items, p3_annotators, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_items, p3_annotators, p6_ids, p7_mix, p7_shares)}
 ORACLE: dict[str, str] = {}
