@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, consensus, mixture, truncation
+from tracemill.llm import bpe, consensus, mixture, sentences, truncation
 from tracemill.session import table
 
 
@@ -41,5 +41,9 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(mixture.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_items, p3_annotators, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_items, p3_annotators, p6_ids, p7_mix, p7_shares, p8_found)}
 ORACLE: dict[str, str] = {}
