@@ -9,8 +9,8 @@ their ends, in two scopes:
   inside these texts but not at their ends, with more text following than an edit of the last words
   explains, is cut; one at their end is whole, whatever the corpus says.
 * the corpus: all artifacts, references, afterthoughts and distinct answers. It decides for ends that the case's
-  texts don't know (translations, remarks, absorbed tails): cut if the trigram is frequent inside
-  texts and almost never their end.
+  texts don't know (translations, remarks, absorbed tails): cut if there is no
+  end mark and the trigram is frequent inside texts and almost never their end.
 
 Marks that close something (fences, tags, quotes, ellipses) are taken off before an answer's end is
 read, since they may be added after a cut.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.spelling import squeezed
-from tracemill.session import written
+from tracemill.session import sized_broadcast, written
 
 #: Last words that may be left out to find a known trigram.
 BACK = 5
@@ -39,7 +39,9 @@ EDIT = 5
 CLOSERS = r"(?i)(?:\s|```|~~~|</?[\p{L}\d_-]+>|[(\[](?:cut|more|truncated|continued)[)\]]|\.{2,}|…|[\"”’»」』*_])+$"
 #: Words of context by which one of a trigram's places in a text is chosen.
 CONTEXT = 12
-TAIL = 400
+#: Words of context that must agree for an end to be taken for the text's end at once, and for a place at all.
+SURE, ALIKE = 8, 7
+TAIL = 240
 
 WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|\p{Lu}?[\p{Ll}\p{M}]+|\p{Lu}+|\p{N}+|[\p{Lo}\p{M}]+"
 FULL_STOP = r"[.!?。！？।؟;；:)）\]}]$"
@@ -49,77 +51,94 @@ def _words(c: str) -> str:
     return f"transform(regexp_extract_all({c}, r'{WORDS}', 0), w -> lower(w))"
 
 
-def ends(rows: DataFrame) -> DataFrame:
-    """``rows`` (``id, case_key, response``) with what their ends look like."""
-    return rows.selectExpr(
-        "id", "case_key",
-        f"right(response, {TAIL}) as tail", "length(response) as size",
-        "(length(response) - length(replace(response, '```', ''))) div 3 % 2 = 1 as open_fence",
-    ).where(r"tail rlike '[\\p{L}\\p{N}]'")
+def _gram(w: str, i: str) -> str:
+    """Hash of the three words of ``w`` from place ``i`` (from 0), digits alike."""
+    return f"xxhash64({w}[{i}], {w}[{i} + 1], {w}[{i} + 2])"
 
 
-def found(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """``seq`` of the cut rows of results."""
+def _context(w: str, to: str) -> str:
+    """The ``CONTEXT`` words of ``w`` up to place ``to`` (from 1), as bits of a long."""
+    return f"aggregate(slice({w}, greatest(1, {to} - {CONTEXT} + 1), least({to}, {CONTEXT})), 0L, (s, x) -> s | shiftleft(1L, cast(hash(x) & 63 as int)))"
+
+
+def cluster(case_id: str) -> str:
+    """A case's key without its condition and digest (``source:number``), or the whole key if it has no such form."""
+    return rf"regexp_replace({case_id}, '^([^:]+:[^:]+):.*$', '$1')"
+
+
+def views(results: DataFrame, cases: DataFrame) -> None:
     spark = results.sparkSession
-    keyed = results.where("response is not null").select(F.col("seq").alias("id"), squeezed(F.col("case_id")).alias("case_key"), "response")
-    texts = cases.where("id is not null").groupBy(squeezed(F.col("id")).alias("case_key")).agg(F.max(F.struct("artifact", "reference", "afterthought")).alias("t"))
-    texts = texts.select("case_key", "t.artifact", "t.reference", "t.afterthought", F.xxhash64("t.artifact", "t.reference", "t.afterthought").alias("akey"))
-    keyed.createOrReplaceTempView("_cut_rows")
-    texts.createOrReplaceTempView("_cut_cases")
-    ends(keyed).createOrReplaceTempView("_cut_ends")
+    results.where("response is not null").select(F.col("seq").alias("id"), squeezed(F.col("case_id")).alias("case_key"), "response").createOrReplaceTempView("_cut_rows")
+    cases.select(squeezed(F.col("id")).alias("case_key"), "artifact", "reference", "afterthought").createOrReplaceTempView("_cut_cases")
+    spark.sql(f"""
+        select {cluster('case_key')} as ckey, explode(array(artifact, reference, afterthought)) as text from _cut_cases""").createOrReplaceTempView("_cut_texts")
+
+
+def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """``ids, cut``: rows of results with equal ends, and whether their text is cut."""
+    spark = results.sparkSession
+    views(results, cases)
     # equal ends of answers to one text are looked up once
-    distinct = spark.sql(rf"""
-        with j as (select e.id, c.akey, e.size, e.open_fence, regexp_replace(e.tail, r'{CLOSERS}', '') as tail, e.tail as raw from _cut_ends e left join _cut_cases c using (case_key))
-        select xxhash64(akey, tail, raw, size) as eid, akey, tail, raw, size, open_fence, collect_list(id) as ids from j group by akey, tail, raw, size, open_fence""")
-    distinct = written(distinct.withColumn("w", F.expr(_words("tail"))), "ends")
-    distinct.createOrReplaceTempView("_cut_distinct")
+    ends = spark.sql(rf"""
+        with t as (select id, {cluster('case_key')} as ckey, right(response, {TAIL}) as raw, length(response) as size from _cut_rows),
+        u as (select id, ckey, regexp_replace(raw, r'{CLOSERS}', '') as tail from t where raw rlike r'[\p{{L}}\p{{N}}]')
+        select ckey, tail, collect_list(id) as ids from u group by ckey, tail""")
+    ends.createOrReplaceTempView("_cut_grouped")
+    prepared = spark.sql(rf"""
+        with a as (select xxhash64(ckey, tail) as eid, ckey, ids, tail rlike r'{FULL_STOP}' as stopped, {_words('tail')} as w, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1 from _cut_grouped),
+        b as (select *, case when t1 <> '' then {_words('t1')} end as w1, transform(w, x -> regexp_replace(x, '[0-9]+', '0')) as z from a)
+        select eid, ids, stopped,
+          case when size(z) >= 3 then {_gram('z', 'size(z) - 3')} end as g0, case when size(z) >= 4 then {_gram('z', 'size(z) - 4')} end as g1,
+          transform(filter(sequence(0, {BACK}), k -> size(w) >= k + 3), k -> struct(0 as v, k as k, get(w, size(w) - 1) as last, xxhash64(ckey, {_gram('w', 'size(w) - k - 3')}) as g, {_context('w', 'size(w) - k')} as near, size(w) - k as n)) as whole,
+          transform(filter(sequence(0, {BACK}), k -> size(w1) >= k + 3), k -> struct(1 as v, k as k, get(w1, size(w1) - 1) as last, xxhash64(ckey, {_gram('w1', 'size(w1) - k - 3')}) as g, {_context('w1', 'size(w1) - k')} as near, size(w1) - k as n)) as short
+        from b""")
+    written(prepared, "ends").createOrReplaceTempView("_cut_ends")
     local = spark.sql(f"""
-        with texts as (select akey, text, src, {_words('text')} as w from (select distinct akey, artifact, reference, afterthought from _cut_cases) lateral view explode(map('a', artifact, 'r', reference, 't', afterthought)) as src, text where text is not null),
-        grams as (select akey, src, length(text) as chars, size(w) as n, posexplode(transform(sequence(1, size(w) - 2), i -> struct(concat_ws(' ', w[i-1], w[i], w[i+1]) as g, concat_ws(' ', slice(w, i + 3, 5)) as rest, slice(w, greatest(1, i - {CONTEXT} + 3), least(i + 2, {CONTEXT})) as near))) as (p, x) from texts where size(w) >= 3)
-        select akey, src, chars, n, x.g, x.rest, x.near, n - 3 - p as after, (p + 3) / n as place from grams""")
-    local.createOrReplaceTempView("_cut_local")
-    asked = spark.sql(f"""
-        select eid, akey, size, tail, v, k, concat_ws(' ', slice(w, size(w) - k - 2, 3)) as g, concat_ws(' ', slice(w, size(w) - k + 1, k)) as over, slice(w, greatest(1, size(w) - k - {CONTEXT} + 1), least(size(w) - k, {CONTEXT})) as near
-        from (select eid, akey, size, tail, w, 0 as v from _cut_distinct
-              union all select eid, akey, size - length(tail) + length(t1), t1, {_words('t1')}, 1 from (select *, regexp_extract(tail, r'(?s)^(.*\\S)\\s*\\n\\s*\\n', 1) as t1 from _cut_distinct) where t1 <> '')
-        lateral view explode(sequence(0, {BACK})) as k where size(w) >= k + 3""")
-    asked.createOrReplaceTempView("_cut_asked")
-    # of several places and back-offs, the one whose words before it are most alike; then the least back-off; then where the answer's length points
-    spark.sql("""
-        select eid, min_by(struct(k, after, rest, over, tail, v), struct(v, -alike, k, far, after)) as m from (
-          select a.*, l.after, l.rest, size(array_intersect(a.near, l.near)) as alike, abs(l.place * l.chars - a.size) as far
-          from _cut_asked a join _cut_local l on a.akey = l.akey and a.g = l.g) where alike >= least(5, size(near) - 2) group by eid""").createOrReplaceTempView("_cut_here")
-    verdict = rf"""
+        with texts as (select ckey, {_words('text')} as w from (select distinct ckey, text from _cut_texts where text is not null)),
+        grams as (select explode(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(ckey, {_gram('w', 'i')}) as g, size(w) - 3 - i as after, get(w, i + 3) as next, i + 3 as n, {_context('w', 'i + 3')} as near))) as x from texts where size(w) >= 3)
+        select x.g, x.after, x.next, x.near, x.n from grams""")
+    written(local, "places").createOrReplaceTempView("_cut_places")
+    # ends that lie where the case's texts end too need no second look
+    spark.sql(f"select eid from (select eid, explode(filter(whole, x -> x.k = 0)) as x from _cut_ends) a join _cut_places l on a.x.g = l.g where l.after = 0 and bit_count(a.x.near & l.near) >= least(x.n, l.n, {SURE})").distinct().createOrReplaceTempView("_cut_sure")
+    rest = written(spark.sql("select * from _cut_ends e left anti join _cut_sure s on e.eid = s.eid"), "unsure")
+    rest.createOrReplaceTempView("_cut_rest")
+    # of several places and back-offs, the one whose words before it are most alike; then the least back-off
+    spark.sql(f"""
+        select eid, min_by(struct(x.k, x.v, x.last, l.after, l.next), struct(x.v, x.k - bit_count(x.near & l.near) - if(l.after <= x.k, 2, 0), x.k, l.after)) as m
+        from (select eid, explode(concat(whole, coalesce(short, array()))) as x from _cut_rest) a join _cut_places l on a.x.g = l.g
+        where bit_count(x.near & l.near) >= least({ALIKE}, x.n - 1, l.n - 1) group by eid""").createOrReplaceTempView("_cut_here")
+    verdict = f"""
         case when m.v = 1 and m.after - m.k <= 0 then null
              when m.k = 0 then m.after > 0
              when m.after - m.k > {EDIT} then true
              when m.after <= 0 then false
-             else startswith(get(split(m.rest, ' '), m.k - 1), element_at(split(m.over, ' '), -1)) and get(split(m.rest, ' '), m.k - 1) <> element_at(split(m.over, ' '), -1) and not m.tail rlike r'{FULL_STOP}'
+             else m.k = 1 and not (stopped and m.v = 0) and startswith(m.next, m.last) and m.next <> m.last
         end"""
-    spark.sql(f"select d.eid, d.ids, d.w, d.tail, case when h.eid is not null then {verdict} end as cut from _cut_distinct d left join _cut_here h on d.eid = h.eid").createOrReplaceTempView("_cut_judged")
-    counts = corpus(spark)
+    local_said = written(spark.sql(f"select e.eid, e.ids, e.stopped, e.g0, e.g1, case when h.eid is not null then {verdict} end as cut from _cut_rest e left join _cut_here h on e.eid = h.eid"), "local")
+    local_said.createOrReplaceTempView("_cut_local")
+    asked = spark.sql("select distinct g from (select explode(array(g0, g1)) as g from _cut_local where cut is null) where g is not null")
+    counts = corpus(spark, asked)
+    never = f"coalesce({{0}}.inside, 0) >= {FREQUENT} and {{0}}.last <= {RARELY_LAST} * ({{0}}.inside + {{0}}.last)"
     counts.createOrReplaceTempView("_cut_counts")
-    open_ = spark.sql("""
-        select d.eid, k, xxhash64(concat_ws(' ', slice(transform(w, x -> regexp_replace(x, '[0-9]+', '0')), size(w) - k - 2, 3))) as g
-        from _cut_judged d lateral view explode(array(0, 1)) as k where cut is null and size(w) >= k + 3""")
-    open_.createOrReplaceTempView("_cut_open")
-    spark.sql(f"""
-        select eid, max(case when k = 0 then inside end) as in0, max(case when k = 0 then last end) as last0, max(case when k = 1 then inside end) as in1, max(case when k = 1 then last end) as last1
-        from _cut_open join _cut_counts using (g) group by eid""").createOrReplaceTempView("_cut_seen")
-    never = f"coalesce(in{{0}}, 0) >= {FREQUENT} and last{{0}} <= {RARELY_LAST} * (in{{0}} + last{{0}})"
-    return spark.sql(rf"""
-        select explode(ids) as seq from (
-          select j.ids, coalesce(cut, ({never.format(0)}) or (coalesce(in0, 0) = 0 and {never.format(1)} and not tail rlike r'{FULL_STOP}'), false) as cut
-          from _cut_judged j left join _cut_seen s on j.eid = s.eid) where cut""")
+    return spark.sql(f"""
+        select ids, coalesce(cut, not stopped and (({never.format('a')}) or (coalesce(a.inside, 0) = 0 and {never.format('b')})), false) as cut
+        from _cut_local e left join _cut_counts a on e.cut is null and e.g0 = a.g left join _cut_counts b on e.cut is null and e.g1 = b.g""")
+
+
+def found(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """``seq`` of the cut rows of results."""
+    return judged(results, cases).where("cut").select(F.explode("ids").alias("seq"))
 
 
-def corpus(spark) -> DataFrame:
-    """``g, inside, last``: counts of trigrams over the distinct texts of answers and cases."""
+def corpus(spark, asked: DataFrame) -> DataFrame:
+    """``g, inside, last``: counts of the asked trigrams over all texts of answers and cases."""
+    asked = written(asked, "asked")
+    sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked")
     return spark.sql(rf"""
-        with texts as (select distinct text from (select response as text from _cut_rows union all select artifact from _cut_cases union all select reference from _cut_cases union all select afterthought from _cut_cases) where text is not null),
-        words as (select transform(regexp_extract_all(text, r'{WORDS}', 0), w -> lower(regexp_replace(w, '[0-9]+', '0'))) as w from texts),
-        grams as (select size(w) as n, posexplode(transform(sequence(1, size(w) - 2), i -> xxhash64(concat_ws(' ', w[i-1], w[i], w[i+1])))) as (p, g) from words where size(w) >= 3)
-        select g, count_if(p < n - 3) as inside, count_if(p = n - 3) as last from grams group by g""")
+        with texts as (select response as text from _cut_rows union all select text from _cut_texts),
+        words as (select transform(regexp_extract_all(text, r'{WORDS}', 0), w -> lower(regexp_replace(w, '[0-9]+', '0'))) as w from texts where text is not null),
+        grams as (select size(w) as n, posexplode(transform(sequence(0, size(w) - 3), i -> {_gram('w', 'i')})) as (p, g) from words where size(w) >= 3)
+        select g, count_if(p < n - 3) as inside, count_if(p = n - 3) as last from grams left semi join _cut_asked using (g) group by g""")
 
 
 def shares(results: DataFrame, cases: DataFrame, flagged: DataFrame) -> DataFrame:
