@@ -13,8 +13,8 @@ EDGE = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
 
 def squeezed(c: Column) -> Column:
     """Lower case, without blanks and invisible characters at the edges, inner blanks as one space."""
-    c = F.regexp_replace(c, rf"^{EDGE}|{EDGE}$", "")
-    return F.lower(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
+    bare = F.regexp_replace(F.regexp_replace(c, rf"^{EDGE}|{EDGE}$", ""), r"[\s\p{Z}]+", " ")
+    return F.lower(F.when(c.rlike("[^!-~]"), bare).otherwise(c))  # most are plain and need no rewriting
 
 
 def canonical_model(df: DataFrame, registry: DataFrame, column: str = "model", to: str = "model_key") -> DataFrame:
