@@ -51,8 +51,13 @@ def _words(c: str) -> str:
     return f"transform(regexp_extract_all({c}, r'{WORDS}', 0), w -> lower(w))"
 
 
+def _plain(c: str) -> str:
+    """All digits alike; what the corpus scope counts."""
+    return f"translate({c}, '123456789', '000000000')"
+
+
 def _gram(w: str, i: str) -> str:
-    """Hash of the three words of ``w`` from place ``i`` (from 0), digits alike."""
+    """Hash of the three words of ``w`` from place ``i`` (from 0)."""
     return f"xxhash64({w}[{i}], {w}[{i} + 1], {w}[{i} + 2])"
 
 
@@ -80,28 +85,28 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
     views(results, cases)
     # equal ends of answers to one text are looked up once
     ends = spark.sql(rf"""
-        with t as (select id, {cluster('case_key')} as ckey, right(response, {TAIL}) as raw, length(response) as size from _cut_rows),
-        u as (select id, ckey, regexp_replace(raw, r'{CLOSERS}', '') as tail from t where raw rlike r'[\p{{L}}\p{{N}}]')
-        select ckey, tail, collect_list(id) as ids from u group by ckey, tail""")
-    ends.createOrReplaceTempView("_cut_grouped")
-    prepared = spark.sql(rf"""
-        with a as (select xxhash64(ckey, tail) as eid, ckey, ids, tail rlike r'{FULL_STOP}' as stopped, {_words('tail')} as w, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1 from _cut_grouped),
-        b as (select *, case when t1 <> '' then {_words('t1')} end as w1, transform(w, x -> regexp_replace(x, '[0-9]+', '0')) as z from a)
-        select eid, ids, stopped,
-          case when size(z) >= 3 then {_gram('z', 'size(z) - 3')} end as g0, case when size(z) >= 4 then {_gram('z', 'size(z) - 4')} end as g1,
-          transform(filter(sequence(0, {BACK}), k -> size(w) >= k + 3), k -> struct(0 as v, k as k, get(w, size(w) - 1) as last, xxhash64(ckey, {_gram('w', 'size(w) - k - 3')}) as g, {_context('w', 'size(w) - k')} as near, size(w) - k as n)) as whole,
-          transform(filter(sequence(0, {BACK}), k -> size(w1) >= k + 3), k -> struct(1 as v, k as k, get(w1, size(w1) - 1) as last, xxhash64(ckey, {_gram('w1', 'size(w1) - k - 3')}) as g, {_context('w1', 'size(w1) - k')} as near, size(w1) - k as n)) as short
-        from b""")
-    written(prepared, "ends").createOrReplaceTempView("_cut_ends")
+        with t as (select id, {cluster('case_key')} as ckey, right(response, {TAIL}) as raw from _cut_rows),
+        u as (select id, ckey, concat(left(raw, length(raw) - 40), regexp_replace(right(raw, 40), r'{CLOSERS}', '')) as tail from t where raw rlike r'[\p{{L}}\p{{N}}]')
+        select xxhash64(ckey, tail) as eid, ckey, tail, collect_list(id) as ids from u group by ckey, tail""")
+    written(ends.withColumn("w", F.expr(_words("tail"))), "ends").createOrReplaceTempView("_cut_ends")
     local = spark.sql(f"""
         with texts as (select ckey, {_words('text')} as w from (select distinct ckey, text from _cut_texts where text is not null)),
         grams as (select explode(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(ckey, {_gram('w', 'i')}) as g, size(w) - 3 - i as after, get(w, i + 3) as next, i + 3 as n, {_context('w', 'i + 3')} as near))) as x from texts where size(w) >= 3)
         select x.g, x.after, x.next, x.near, x.n from grams""")
     written(local, "places").createOrReplaceTempView("_cut_places")
     # ends that lie where the case's texts end too need no second look
-    spark.sql(f"select eid from (select eid, explode(filter(whole, x -> x.k = 0)) as x from _cut_ends) a join _cut_places l on a.x.g = l.g where l.after = 0 and bit_count(a.x.near & l.near) >= least(x.n, l.n, {SURE})").distinct().createOrReplaceTempView("_cut_sure")
-    rest = written(spark.sql("select * from _cut_ends e left anti join _cut_sure s on e.eid = s.eid"), "unsure")
-    rest.createOrReplaceTempView("_cut_rest")
+    spark.sql(f"""
+        select distinct eid from (select eid, size(w) as n, xxhash64(ckey, {_gram('w', 'size(w) - 3')}) as g, {_context('w', 'size(w)')} as near from _cut_ends where size(w) >= 3) e join (select * from _cut_places where after = 0) l on e.g = l.g
+        where bit_count(e.near & l.near) >= least(e.n, l.n, {SURE})""").createOrReplaceTempView("_cut_sure")
+    rest = spark.sql(rf"""
+        with a as (select e.*, tail rlike r'{FULL_STOP}' as stopped, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1, regexp_extract_all({_plain('right(tail, 120)')}, r'{WORDS}', 0) as z from _cut_ends e left anti join _cut_sure s on e.eid = s.eid),
+        b as (select *, case when t1 <> '' then {_words('t1')} end as w1 from a)
+        select eid, ids, stopped,
+          case when size(z) >= 3 then {_gram('z', 'size(z) - 3')} end as g0, case when size(z) >= 4 then {_gram('z', 'size(z) - 4')} end as g1,
+          transform(filter(sequence(0, {BACK}), k -> size(w) >= k + 3), k -> struct(0 as v, k as k, get(w, size(w) - 1) as last, xxhash64(ckey, {_gram('w', 'size(w) - k - 3')}) as g, {_context('w', 'size(w) - k')} as near, size(w) - k as n)) as whole,
+          transform(filter(sequence(0, {BACK}), k -> size(w1) >= k + 3), k -> struct(1 as v, k as k, get(w1, size(w1) - 1) as last, xxhash64(ckey, {_gram('w1', 'size(w1) - k - 3')}) as g, {_context('w1', 'size(w1) - k')} as near, size(w1) - k as n)) as short
+        from b""")
+    written(rest, "unsure").createOrReplaceTempView("_cut_rest")
     # of several places and back-offs, the one whose words before it are most alike; then the least back-off
     spark.sql(f"""
         select eid, min_by(struct(x.k, x.v, x.last, l.after, l.next), struct(x.v, x.k - bit_count(x.near & l.near) - if(l.after <= x.k, 2, 0), x.k, l.after)) as m
@@ -131,12 +136,12 @@ def found(results: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def corpus(spark, asked: DataFrame) -> DataFrame:
-    """``g, inside, last``: counts of the asked trigrams over all texts of answers and cases."""
+    """``g, inside, last``: counts of the asked trigrams over all distinct texts of answers and cases."""
     asked = written(asked, "asked")
     sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked")
     return spark.sql(rf"""
-        with texts as (select response as text from _cut_rows union all select text from _cut_texts),
-        words as (select transform(regexp_extract_all(text, r'{WORDS}', 0), w -> lower(regexp_replace(w, '[0-9]+', '0'))) as w from texts where text is not null),
+        with texts as (select distinct text from (select response as text from _cut_rows union all select text from _cut_texts)),
+        words as (select regexp_extract_all({_plain('text')}, r'{WORDS}', 0) as w from texts where text is not null),
         grams as (select size(w) as n, posexplode(transform(sequence(0, size(w) - 3), i -> {_gram('w', 'i')})) as (p, g) from words where size(w) >= 3)
         select g, count_if(p < n - 3) as inside, count_if(p = n - 3) as last from grams left semi join _cut_asked using (g) group by g""")
 
