@@ -97,7 +97,7 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
     # ends that lie where the case's texts end too need no second look
     spark.sql(f"""
         select distinct eid from (select eid, size(w) as n, xxhash64(ckey, {_gram('w', 'size(w) - 3')}) as g, {_context('w', 'size(w)')} as near from _cut_ends where size(w) >= 3) e join (select * from _cut_places where after = 0) l on e.g = l.g
-        where bit_count(e.near & l.near) >= least(e.n, l.n, {SURE})""").createOrReplaceTempView("_cut_sure")
+        where bit_count(e.near & l.near) >= least(bit_count(l.near), {SURE})""").createOrReplaceTempView("_cut_sure")
     rest = spark.sql(rf"""
         with a as (select e.*, tail rlike r'{FULL_STOP}' as stopped, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1, regexp_extract_all({_plain('right(tail, 120)')}, r'{WORDS}', 0) as z from _cut_ends e left anti join _cut_sure s on e.eid = s.eid),
         b as (select *, case when t1 <> '' then {_words('t1')} end as w1 from a)
@@ -111,7 +111,7 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
     spark.sql(f"""
         select eid, min_by(struct(x.k, x.v, x.last, l.after, l.next), struct(x.v, x.k - bit_count(x.near & l.near) - if(l.after <= x.k, 2, 0), x.k, l.after)) as m
         from (select eid, explode(concat(whole, coalesce(short, array()))) as x from _cut_rest) a join _cut_places l on a.x.g = l.g
-        where bit_count(x.near & l.near) >= least({ALIKE}, x.n - 1, l.n - 1) group by eid""").createOrReplaceTempView("_cut_here")
+        where bit_count(x.near & l.near) >= least({ALIKE}, bit_count(x.near) - 1, bit_count(l.near) - 1) group by eid""").createOrReplaceTempView("_cut_here")
     verdict = f"""
         case when m.v = 1 and m.after - m.k <= 0 then null
              when m.k = 0 then m.after > 0
