@@ -83,11 +83,12 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
     """``ids, cut``: rows of results with equal ends, and whether their text is cut."""
     spark = results.sparkSession
     views(results, cases)
-    # equal ends of answers to one text are looked up once
+    # equal answers to one text are looked up once
+    spark.sql(f"select {cluster('case_key')} as ckey, response, collect_list(id) as ids from _cut_rows group by 1, 2").createOrReplaceTempView("_cut_grouped")
     ends = spark.sql(rf"""
-        with t as (select id, {cluster('case_key')} as ckey, right(response, {TAIL}) as raw from _cut_rows),
-        u as (select id, ckey, concat(left(raw, length(raw) - 40), regexp_replace(right(raw, 40), r'{CLOSERS}', '')) as tail from t where raw rlike r'[\p{{L}}\p{{N}}]')
-        select xxhash64(ckey, tail) as eid, ckey, tail, collect_list(id) as ids from u group by ckey, tail""")
+        with t as (select *, right(response, {TAIL}) as raw from _cut_grouped),
+        u as (select ckey, response, ids, concat(left(raw, length(raw) - 40), regexp_replace(right(raw, 40), r'{CLOSERS}', '')) as tail from t where raw rlike r'[\p{{L}}\p{{N}}]')
+        select xxhash64(ckey, response) as eid, * from u""")
     written(ends.withColumn("w", F.expr(_words("tail"))), "ends").createOrReplaceTempView("_cut_ends")
     local = spark.sql(f"""
         with texts as (select ckey, {_words('text')} as w from (select distinct ckey, text from _cut_texts where text is not null)),
@@ -99,7 +100,7 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
         select distinct eid from (select eid, size(w) as n, xxhash64(ckey, {_gram('w', 'size(w) - 3')}) as g, {_context('w', 'size(w)')} as near from _cut_ends where size(w) >= 3) e join (select * from _cut_places where after = 0) l on e.g = l.g
         where bit_count(e.near & l.near) >= least(bit_count(l.near), {SURE})""").createOrReplaceTempView("_cut_sure")
     rest = spark.sql(rf"""
-        with a as (select e.*, tail rlike r'{FULL_STOP}' as stopped, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1, regexp_extract_all({_plain('right(tail, 120)')}, r'{WORDS}', 0) as z from _cut_ends e left anti join _cut_sure s on e.eid = s.eid),
+        with a as (select eid, ids, ckey, tail, w, tail rlike r'{FULL_STOP}' as stopped, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1, regexp_extract_all({_plain('right(tail, 120)')}, r'{WORDS}', 0) as z from _cut_ends e left anti join _cut_sure s on e.eid = s.eid),
         b as (select *, case when t1 <> '' then {_words('t1')} end as w1 from a)
         select eid, ids, stopped,
           case when size(z) >= 3 then {_gram('z', 'size(z) - 3')} end as g0, case when size(z) >= 4 then {_gram('z', 'size(z) - 4')} end as g1,
@@ -136,11 +137,11 @@ def found(results: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def corpus(spark, asked: DataFrame) -> DataFrame:
-    """``g, inside, last``: counts of the asked trigrams over all distinct texts of answers and cases."""
+    """``g, inside, last``: counts of the asked trigrams over the distinct answers to each case and the cases' texts."""
     asked = written(asked, "asked")
     sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked")
     return spark.sql(rf"""
-        with texts as (select distinct text from (select response as text from _cut_rows union all select text from _cut_texts)),
+        with texts as (select response as text from _cut_ends union all select distinct text from _cut_texts),
         words as (select regexp_extract_all({_plain('text')}, r'{WORDS}', 0) as w from texts where text is not null),
         grams as (select size(w) as n, posexplode(transform(sequence(0, size(w) - 3), i -> {_gram('w', 'i')})) as (p, g) from words where size(w) >= 3)
         select g, count_if(p < n - 3) as inside, count_if(p = n - 3) as last from grams left semi join _cut_asked using (g) group by g""")
