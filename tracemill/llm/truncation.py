@@ -1,7 +1,7 @@
 r"""Answers whose text was cut off, found by word trigrams that run on elsewhere but never end a text.
 
 Pure SQL. A text's words (single signs in scripts without spaces, parts of camel-case names in code,
-digits as written) give its trigrams. The trigrams at an answer's end, the last one and those that
+digits as written; in the corpus whatever stands between blanks) give its trigrams. The trigrams at an answer's end, the last one and those that
 leave out up to ``BACK`` last words, are joined with counts of the same trigrams inside texts and at
 their ends, in two scopes:
 
@@ -51,9 +51,14 @@ def _words(c: str) -> str:
     return f"transform(regexp_extract_all({c}, r'{WORDS}', 0), w -> lower(w))"
 
 
+def _tail() -> str:
+    """The end of an answer without closing marks."""
+    return rf"concat(left(right(response, {TAIL}), length(right(response, {TAIL})) - 40), regexp_replace(right(response, 40), r'{CLOSERS}', ''))"
+
+
 def _plain(c: str) -> str:
-    """All digits alike; what the corpus scope counts."""
-    return f"translate({c}, '123456789', '000000000')"
+    """Words of the corpus scope: what stands between blanks, all digits alike."""
+    return rf"split(translate({c}, '123456789\n\r\t', '000000000   '), ' ')"
 
 
 def _gram(w: str, i: str) -> str:
@@ -85,11 +90,9 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
     views(results, cases)
     # equal answers to one text are looked up once
     spark.sql(f"select {cluster('case_key')} as ckey, response, collect_list(id) as ids from _cut_rows group by 1, 2").createOrReplaceTempView("_cut_grouped")
-    ends = spark.sql(rf"""
-        with t as (select *, right(response, {TAIL}) as raw from _cut_grouped),
-        u as (select ckey, response, ids, concat(left(raw, length(raw) - 40), regexp_replace(right(raw, 40), r'{CLOSERS}', '')) as tail from t where raw rlike r'[\p{{L}}\p{{N}}]')
-        select xxhash64(ckey, response) as eid, * from u""")
-    written(ends.withColumn("w", F.expr(_words("tail"))), "ends").createOrReplaceTempView("_cut_ends")
+    written(spark.sql(rf"""
+        select xxhash64(ckey, response) as eid, ckey, response, ids, slice(w, greatest(1, size(w) - {CONTEXT + BACK - 1}), {CONTEXT + BACK}) as w
+        from (select *, {_words(_tail())} as w from _cut_grouped where right(response, {TAIL}) rlike r'[\p{{L}}\p{{N}}]')"""), "ends").createOrReplaceTempView("_cut_ends")
     local = spark.sql(f"""
         with texts as (select ckey, {_words('text')} as w from (select distinct ckey, text from _cut_texts where text is not null)),
         grams as (select explode(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(ckey, {_gram('w', 'i')}) as g, size(w) - 3 - i as after, get(w, i + 3) as next, i + 3 as n, {_context('w', 'i + 3')} as near))) as x from texts where size(w) >= 3)
@@ -100,7 +103,8 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
         select distinct eid from (select eid, size(w) as n, xxhash64(ckey, {_gram('w', 'size(w) - 3')}) as g, {_context('w', 'size(w)')} as near from _cut_ends where size(w) >= 3) e join (select * from _cut_places where after = 0) l on e.g = l.g
         where bit_count(e.near & l.near) >= least(bit_count(l.near), {SURE})""").createOrReplaceTempView("_cut_sure")
     rest = spark.sql(rf"""
-        with a as (select eid, ids, ckey, tail, w, tail rlike r'{FULL_STOP}' as stopped, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1, regexp_extract_all({_plain('right(tail, 120)')}, r'{WORDS}', 0) as z from _cut_ends e left anti join _cut_sure s on e.eid = s.eid),
+        with o as (select e.*, {_tail()} as tail from _cut_ends e left anti join _cut_sure s on e.eid = s.eid),
+        a as (select eid, ids, ckey, w, tail rlike r'{FULL_STOP}' as stopped, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1, {_plain('tail')} as z from o),
         b as (select *, case when t1 <> '' then {_words('t1')} end as w1 from a)
         select eid, ids, stopped,
           case when size(z) >= 3 then {_gram('z', 'size(z) - 3')} end as g0, case when size(z) >= 4 then {_gram('z', 'size(z) - 4')} end as g1,
@@ -142,7 +146,7 @@ def corpus(spark, asked: DataFrame) -> DataFrame:
     sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked")
     return spark.sql(rf"""
         with texts as (select response as text from _cut_ends union all select distinct text from _cut_texts),
-        words as (select regexp_extract_all({_plain('text')}, r'{WORDS}', 0) as w from texts where text is not null),
+        words as (select {_plain('text')} as w from texts where text is not null),
         grams as (select size(w) as n, posexplode(transform(sequence(0, size(w) - 3), i -> {_gram('w', 'i')})) as (p, g) from words where size(w) >= 3)
         select g, count_if(p < n - 3) as inside, count_if(p = n - 3) as last from grams left semi join _cut_asked using (g) group by g""")
 
