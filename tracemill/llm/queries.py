@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, consensus, mixture, sentences, truncation
+from tracemill.llm import bpe, consensus, mixture, pairs, sentences, truncation
 from tracemill.session import table
 
 
@@ -17,6 +17,10 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.shares(results, cases, truncation.found(results, cases))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.found(table(spark, sf_dir, "results"), table(spark, sf_dir, "cases"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.consensus(table(spark, sf_dir, "audit_labels")).where("consensus").select("audit_id")
 
@@ -45,5 +49,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_items, p3_annotators, p6_ids, p7_mix, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p3_found, p3_items, p3_annotators, p6_ids, p7_mix, p7_shares, p8_found)}
 ORACLE: dict[str, str] = {}
