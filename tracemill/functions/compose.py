@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Tries for a tag that the text doesn't hold; beyond them the row fails.
 TRIES = 8
@@ -105,7 +106,7 @@ def patched(source: str, payload: str) -> str:
     return "".join(out) + source[at:]
 
 
-@F.pandas_udf("struct<text string, problem string>")
+@F.pandas_udf(StructType().add("text", "string").add("problem", "string"))
 def apply_patches(source: pd.Series, payload: pd.Series) -> pd.DataFrame:
     """Patched text of every row, or what is wrong with its patch."""
     rows = []

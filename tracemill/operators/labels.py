@@ -6,8 +6,6 @@ values are settled by the row's columns, so that results don't depend on partiti
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -89,7 +87,8 @@ def ranks(df: DataFrame, column: str, to: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """``n, rho`` of two columns; 0 where a column doesn't vary."""
     r = ranks(ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_x"), y, "_y")
-    return r.agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("_x", "_y"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
+    return r.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), F.when(spread > 1e-12, spread)), F.lit(0.0)).alias("rho"))
 
 
 def lever(labels: DataFrame, first: str, second: str, draws: int = 10_000) -> DataFrame:
@@ -131,7 +130,7 @@ def permutation_p(df: DataFrame, x: str, y: str, draws: int = 20_000) -> DataFra
         hits = sum(abs(float((a * rng.permutation(b)).mean())) >= abs(rho) - 1e-12 for _ in range(draws))
         return pd.DataFrame({"n": [len(a)], "rho": [rho], "p": [(hits + 1) / (draws + 1)]})
 
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.lit(1)).applyInPandas(run, "n long, rho double, p double")
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "n long, rho double, p double")
 
 
 def confusion(df: DataFrame, predicted: Column, gold: Column, by: list[str]) -> DataFrame:
@@ -151,7 +150,3 @@ def auc(df: DataFrame, score: str, gold: str, by: list[str]) -> DataFrame:
     below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     g = g.withColumn("u", F.col("pos") * (below + F.col("neg") / 2))
     return g.groupBy(*by).agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
-
-
-def reduce_and(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, parts)
