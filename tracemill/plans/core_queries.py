@@ -129,11 +129,11 @@ def adjacent_fisher(spark: SparkSession, d: str) -> DataFrame:
     return rounded(labels.adjacent(genre_gradient(spark, d), "model", "source", "k", "n"))
 
 
-@query(f"""with {L}, r as (select cluster, count(*) filter (where absorbed) x, count(*) y from labels group by 1),
+@query(f"""with {L}, r as (select cluster, count(*) filter (where absorbed and model = 'm1') x, count(*) filter (where absorbed and model = 'm2') y from labels group by 1),
 k as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 ry from r)
-select count(*) n, round(coalesce(corr(rx, ry), 0), 9) rho from k""")
+select count(*) n, round(case when stddev_pop(rx) * stddev_pop(ry) > 1e-12 then corr(rx, ry) else 0 end, 9) rho from k""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    r = _labels(spark, d).groupBy("cluster").agg(F.count_if("absorbed").alias("x"), F.count("*").alias("y"))
+    r = _labels(spark, d).groupBy("cluster").agg(F.count_if(F.col("absorbed") & (F.col("model") == "m1")).alias("x"), F.count_if(F.col("absorbed") & (F.col("model") == "m2")).alias("y"))
     return rounded(labels.spearman(r, "x", "y"))
 
 
