@@ -98,6 +98,23 @@ def test_cut_answers(spark):
     assert {r.n_cut for r in truncation.shares(res, case, truncation.found(res, case)).collect()} == {4}
 
 
+@pytest.mark.parametrize(("whole", "cut"), [
+    ("{}委员会整理了每周的名册并检查平面图的尺寸。", "甲委员会整理了每周的名册并检查平面"), ("{}さんは毎週の名簿を整理しました。", "甲さんは毎週の名簿を整理し"), ("{} กรรมการตรวจแผนผังและจัดรายชื่อประจำสัปดาห์", "甲 กรรมการตรวจแผนผังและจัดราย"),
+    ("Velm{} checked the Report, then left.", "Orsal checked the report"), ("Velm{} called it “a plain report” twice.", "Orsal called it “a plain report"),
+])
+def test_cut_answers_that_only_the_corpus_knows(spark, whole, cut):
+    case = spark.createDataFrame([("s:1:clean:x", ART, None, None, "Fix this:", "s")], CASES)
+    res = spark.createDataFrame([(i, "s:1:clean:x", whole.format(chr(0x5000 + i))) for i in range(120)] + [(500, "s:1:clean:x", cut)], "seq long, case_id string, response string")
+    assert [r.seq for r in truncation.found(res, case).collect()] == [500]
+
+
+def test_whole_thai_answers_end_without_a_mark(spark):
+    case = spark.createDataFrame([("s:1:clean:x", ART, None, None, "Fix this:", "s")], CASES)
+    a, b = "กรรมการตรวจแผนผังแล้ว", "ทีมงานจัดรายชื่อประจำสัปดาห์"
+    res = spark.createDataFrame([(i, "s:1:clean:x", f"{chr(0x5000 + i)} {a} {b}") for i in range(120)] + [(500, "s:1:clean:x", f"{b} {a}")], "seq long, case_id string, response string")
+    assert truncation.found(res, case).count() == 0
+
+
 def test_pair_defects(spark):
     case = spark.createDataFrame([("s:1:clean:x", ART, None, None, "Fix this text:", "s")], CASES)
     answers = {

@@ -1,7 +1,7 @@
 r"""Answers whose text was cut off, found by word trigrams that run on elsewhere but never end a text.
 
 Pure SQL. A text's words (single signs in scripts without spaces, parts of camel-case names in code,
-digits as written; in the corpus whatever stands between blanks) give its trigrams. The trigrams at an answer's end, the last one and those that
+digits as written, in the corpus all alike) give its trigrams. The trigrams at an answer's end, the last one and those that
 leave out up to ``BACK`` last words, are joined with counts of the same trigrams inside texts and at
 their ends, in two scopes:
 
@@ -44,6 +44,8 @@ SURE, ALIKE = 8, 7
 TAIL = 240
 
 WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|\p{Lu}?[\p{Ll}\p{M}]+|\p{Lu}+|\p{N}+|[\p{Lo}\p{M}]+"
+#: Thai has no end mark: a blank between its letters ends a sentence, so the words before it are an end too.
+THAI_GAP = r"(?<=\p{IsThai})\s+(?=\p{IsThai})"
 FULL_STOP = r"[.!?。！？।؟;；:)）\]}]$"
 
 
@@ -57,8 +59,8 @@ def _tail() -> str:
 
 
 def _plain(c: str) -> str:
-    """Words of the corpus scope: what stands between blanks, all digits alike."""
-    return rf"split(translate({c}, '123456789\n\r\t', '000000000   '), ' ')"
+    """Words of the corpus scope: as ``_words``, all digits alike; one ``lower`` for the whole text instead of one a word."""
+    return rf"split(lower(array_join(regexp_extract_all(translate({c}, '123456789', '000000000'), r'{WORDS}', 0), ' ')), ' ')"
 
 
 def _gram(w: str, i: str) -> str:
@@ -130,8 +132,9 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
     counts = corpus(spark, asked)
     never = f"coalesce({{0}}.inside, 0) >= {FREQUENT} and {{0}}.last <= {RARELY_LAST} * ({{0}}.inside + {{0}}.last)"
     counts.createOrReplaceTempView("_cut_counts")
+    # one more word is left out only where the end itself is unknown: one that ends other texts too is whole
     return spark.sql(f"""
-        select ids, coalesce(cut, not stopped and (({never.format('a')}) or (coalesce(a.inside, 0) = 0 and {never.format('b')})), false) as cut
+        select ids, coalesce(cut, not stopped and (({never.format('a')}) or (coalesce(a.inside, 0) = 0 and coalesce(a.last, 0) <= greatest(1, {RARELY_LAST} * b.inside) and {never.format('b')})), false) as cut
         from _cut_local e left join _cut_counts a on e.cut is null and e.g0 = a.g left join _cut_counts b on e.cut is null and e.g1 = b.g""")
 
 
@@ -146,7 +149,7 @@ def corpus(spark, asked: DataFrame) -> DataFrame:
     sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked")
     return spark.sql(rf"""
         with texts as (select response as text from _cut_ends union all select distinct text from _cut_texts),
-        words as (select {_plain('text')} as w from texts where text is not null),
+        words as (select {_plain('text')} as w from (select explode(split(text, r'{THAI_GAP}')) as text from texts where text is not null)),
         grams as (select size(w) as n, posexplode(transform(sequence(0, size(w) - 3), i -> {_gram('w', 'i')})) as (p, g) from words where size(w) >= 3)
         select g, count_if(p < n - 3) as inside, count_if(p = n - 3) as last from grams left semi join _cut_asked using (g) group by g""")
 
