@@ -127,6 +127,15 @@ def test_pair_defects(spark):
     assert got == {2: "empty", 3: "empty", 4: "empty", 5: "refusal", 6: "copy", 7: "copy", 8: "language", 9: "truncated"}
 
 
+def test_quoted_artifact_beside_an_edited_version_is_no_copy():
+    refusals = [f"{a} {b}" for a in ("Sorry,", "Unfortunately,") for b in ("I cannot do this.", "I am unable to assist.")]
+    tagger = pairs.fit([(r, ART, "Fix:") for r in refusals] + [(REF, ART, "Fix:"), (ART, ART, "Fix:"), ("> " + ART, ART, "Fix:")] * 8)
+    around = "Fix: The text is below.\nCall the dentist on Monday please."
+    assert pairs.defect(ART + "\n\n" + REF, ART, "Fix:", tagger) is None
+    assert pairs.defect(ART, ART, "Fix:", tagger) == pairs.defect(ART + "\n" + ART.upper(), ART, "Fix:", tagger) == "copy"
+    assert pairs.defect("Fix: The text is below.\n" + ART + "\nCall the dentist on Monday please.", ART, "Fix:", tagger, around) == "copy"
+
+
 def test_tagger_learns_held_out_rows():
     refusals = [f"{a} {b}" for a in ("Sorry,", "Unfortunately,", "I apologize;") for b in ("I cannot do this.", "I am unable to assist.", "I must decline.", "I can't help here.")]
     rows = [(r, ART, "Fix:") for r in refusals] + [(REF, ART, "Fix:"), (REF + " Done.", ART, "Fix:")] * 8

@@ -11,8 +11,10 @@ with the artifact and hold words of declining refusals, others answers. All rows
 
 A pair's defect is the first that holds: ``empty`` (no clause is left without blanks, wrappers,
 opening lines and placeholders), ``refusal`` (refusing clauses cover what isn't a remark), ``copy``
-(echoes cover the answer, and the artifact or the instruction is there unedited), ``language``
-(foreign clauses cover most), ``truncated`` (see ``truncation``).
+(echoes cover what isn't a remark or another part of the message, and the whole artifact is there
+unedited; or, by an exact check without tags, nothing but the instruction is), ``language``
+(foreign clauses cover most), ``truncated`` (see ``truncation``; the tag unfinished keeps open ends
+out of the others and decides nothing).
 
 Edge cases: a null answer is empty. An answer to an unknown case can be empty, a refusal or
 truncated. A null artifact or instruction takes part in no comparison. Code has no language. Equal
@@ -41,6 +43,8 @@ TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 A, R, E, N, U = range(5)
 #: Least part of an answer that must be refusing or foreign.
 REFUSES, FOREIGN = 0.6, 0.6
+#: Least part that must be an echo; an answer that holds an edited version beside the quoted artifact has less.
+COPIES = 0.8
 
 CLAUSE = re.compile(r"(?<=[.!?…][\"”’»)]*)\s+|(?<=[。！？।؟])(?=[^”」』）])|\s*[\r\n]+\s*")
 #: What doesn't count as an edit: layout, quoting and emphasis.
@@ -229,8 +233,22 @@ def is_empty(answer: str) -> bool:
     return not left or len(left) <= 2 and all(REMARK.match(x) for x in left)
 
 
-def defect(answer: str | None, artifact: str | None, instruction: str | None, tagger: Tagger) -> str | None:
-    """The defect of one pair, but for ``truncated``."""
+def echoed(p: Pair, tags: list[int], around: str | None) -> float:
+    """Part of the answer that echoes of the artifact take, without remarks and what the message has ``around`` it."""
+    said = bare(around or "")
+    echo = rest = 0
+    for tag, c, m in zip(tags, p.clauses, p.marks, strict=True):
+        b = bare(c)
+        if m[5] and tag in (A, U) or m[1] or not m[0] and b in said:
+            continue
+        rest += len(b)
+        echo += len(b) * (tag == E)
+    # clauses that an edited version leaves as they are echo nothing more than the quoted artifact
+    return min(echo, p.text.count(p.art) * len(p.art)) / rest if rest else 0.0
+
+
+def defect(answer: str | None, artifact: str | None, instruction: str | None, tagger: Tagger, around: str | None = None) -> str | None:
+    """The defect of one pair, but for ``truncated``; ``around`` is the message without the artifact."""
     if answer is None or len(answer) < 200 and is_empty(answer) and bare(answer) != bare(instruction or ""):
         return "empty"
     p = Pair(answer, artifact, instruction)
@@ -247,7 +265,9 @@ def defect(answer: str | None, artifact: str | None, instruction: str | None, ta
     kept = sum(n for tag, n, m in zip(tags, p.lens, p.marks, strict=True) if tag != R and m[2] >= 2)
     if rest and part[R] >= REFUSES * rest and kept < 0.2 * rest:
         return "refusal"
-    if (part[E] or any(m[0] or m[1] for m in p.marks)) and (len(p.art) > 20 and p.art in p.text or p.ask and not any(m[2] >= 2 and not m[1] for m in p.marks) and p.ask in p.text and len(p.text) < len(p.ask) + 120):
+    if len(p.art) > 20 and p.art in p.text and echoed(p, tags, around) >= COPIES:
+        return "copy"
+    if p.ask and not any(m[2] >= 2 and not m[1] for m in p.marks) and p.ask in p.text and len(p.text) < len(p.ask) + 120:
         return "copy"
     if rest and part[N] >= FOREIGN * rest and not p.code:
         return "language"
@@ -258,9 +278,10 @@ def found(results: DataFrame, cases: DataFrame) -> DataFrame:
     """``seq, defect`` of the defective rows of results."""
     spark = results.sparkSession
     rows = results.select("seq", squeezed(F.col("case_id")).alias("case_key"), "response")
-    case = cases.where("id is not null").select(squeezed(F.col("id")).alias("case_key"), "artifact", "task_instruction").dropDuplicates(["case_key"])
+    around = F.expr("replace(message, artifact, '\n')") if "message" in cases.columns else F.lit(None).cast("string")
+    case = cases.where("id is not null").select(squeezed(F.col("id")).alias("case_key"), "artifact", "task_instruction", around.alias("around")).dropDuplicates(["case_key"])
     pairs = rows.groupBy("case_key", "response").agg(F.collect_list("seq").alias("seqs")).join(case, "case_key", "left")
-    pairs = written(pairs.select("seqs", "response", "artifact", "task_instruction"), "pairs")
+    pairs = written(pairs.select("seqs", "response", "artifact", "task_instruction", "around"), "pairs")
     sample = pairs.where("response is not null and artifact is not null").orderBy(F.xxhash64("response", "artifact")).limit(SAMPLE)
     tagger = fit([tuple(r) for r in sample.select("response", "artifact", "task_instruction").collect()])
     shared = spark.sparkContext.broadcast((tagger.w, tagger.t))
@@ -268,8 +289,8 @@ def found(results: DataFrame, cases: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tagger(*shared.value)
         for b in batches:
-            answers, arts, asks = (b.column(k).to_pylist() for k in (1, 2, 3))
-            out = [defect(x, a, i, t) for x, a, i in zip(answers, arts, asks, strict=True)]
+            answers, arts, asks, arounds = (b.column(k).to_pylist() for k in (1, 2, 3, 4))
+            out = [defect(x, a, i, t, m) for x, a, i, m in zip(answers, arts, asks, arounds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["seqs", "defect"])
 
     own = pairs.mapInArrow(run, "seqs array<long>, defect string").where("defect is not null").select(F.explode("seqs").alias("seq"), "defect")
