@@ -170,3 +170,15 @@ def test_abbreviations_come_from_the_corpus(spark):
         assert sentences.split(df, "doc_id", "text").where(F.col("doc_id") == n).count() == 2
     finally:
         sentences.SENT_AT_ONCE = keep
+
+
+def test_joined_verdicts_give_equal_sentences(spark):
+    texts = ["他说：“太长了。”然后离开了。", "然后离开了。然后离开了。", "Das ist gut. well-known words stay. Well, they do.", "Dr. Velm came, cf. the notes.", "ราคา 6.3 บาท ใครจะอ่าน", "यह है। वह था।", "Ποιος θα; Εγώ.", "قال: “طويل.” ثم ذهب. عاد؟ نعم.", "Он сказал: «Хватит!» и ушёл. Потом вернулся.", "See e.g.the notes. It rose to 4.2. «Oui.» Puis il part.", "", None]
+    df = spark.createDataFrame([(None if i % 3 == 0 else i % 7, t) for i, t in enumerate(texts * 4)], "doc_id int, text string")
+    whole = sorted(map(str, sentences.split(df, "doc_id", "text").collect()))
+    sentences.SENT_AT_ONCE, keep = -1, sentences.SENT_AT_ONCE
+    try:
+        joined = sorted(map(str, sentences.split(df, "doc_id", "text").collect()))
+    finally:
+        sentences.SENT_AT_ONCE = keep
+    assert joined == whole

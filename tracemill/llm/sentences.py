@@ -212,6 +212,28 @@ def evidence(text: str) -> Iterator[tuple[str, int, int, int]]:
                 yield "w:" + w, 1, 0, 0
 
 
+def lookups(text: str) -> set[str]:
+    """Every key that ``cut_points`` may ask for: the words before and after each mark, whatever closes in between."""
+    keys = set()
+    for a, b, kind in blocks(text):
+        if kind != "prose":
+            continue
+        p = text[a:b]
+        for m in MARK.finditer(p):
+            keys.add("s:" + before(p, m.start()).lower())
+            k = m.end()
+            while True:
+                gap = k
+                while gap < len(p) and p[gap] in SPACE:
+                    gap += 1
+                word = opening(p, gap)
+                keys.add("b:" + (word if CJK.match(word or " ") else word.lower()))
+                if k >= len(p) or p[k] not in CLOSING:
+                    break
+                k += 1
+    return keys
+
+
 def gathered(texts: DataFrame, text: str) -> DataFrame:
     """``word, a, b, c`` summed over the corpus; each batch is summed before it is shuffled."""
 
@@ -446,17 +468,20 @@ def split(df: DataFrame, key: str, text: str) -> DataFrame:
 
         return df.select(key, text).mapInArrow(run, schema)
 
+    # texts are told by their digest: keys may be null or repeated, and equal texts give equal units
+    rows = df.select(key, text, F.md5(text).alias("_text"))
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = [(k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in {e[0] for e in evidence(t or "")}]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], b.column(0).type), pa.array([f[1] for f in flat], pa.string())], [key, "word"])
+            flat = [(h, w) for h, t in dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items() for w in lookups(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.string()), pa.array([f[1] for f in flat], pa.string())], ["_text", "word"])
 
-    asked = df.select(key, text).mapInArrow(words, df.select(key).schema.add("word", "string"))
-    told = asked.join(verdicts, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "verdict"))).alias("known"))
+    asked = rows.where("_text is not null").select("_text", text).mapInArrow(words, "_text string, word string").distinct()
+    told = asked.join(verdicts, "word").groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("word", "verdict"))).alias("known"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            yield emit(b.column(0).to_pylist(), [sentences(t, dict(k or ())) for t, k in rows], b.column(0).type)
+            found = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            yield emit(b.column(0).to_pylist(), [sentences(t, dict(k or ())) for t, k in found], b.column(0).type)
 
-    return df.select(key, text).join(told, key, "left").mapInArrow(run_joined, schema)
+    return rows.join(told, "_text", "left").select(key, text, "known").mapInArrow(run_joined, schema)
