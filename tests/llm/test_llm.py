@@ -182,3 +182,9 @@ def test_joined_verdicts_give_equal_sentences(spark):
     finally:
         sentences.SENT_AT_ONCE = keep
     assert joined == whole
+
+
+def test_abbreviations_of_the_document_hold_in_all_its_paragraphs():
+    shown, asked = "They met the abt. of Velm and the abt. of Orsal, as planned.", "It was abt. Orsal who came. We left the abt. The others stayed."
+    got = [f[a:b] for f in [f"{shown}\n\n{asked}"] for a, b in sentences.sentences(f, {})]
+    assert got == [shown, "It was abt. Orsal who came.", "We left the abt.", "The others stayed."]

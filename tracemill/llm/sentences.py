@@ -7,9 +7,11 @@ sentences at end marks. What makes a mark ambiguous is settled in two passes, wi
    stop, and whether then a paragraph ends, a small letter, a digit or a comma follows; how often the
    same words stand without a stop; with which words paragraphs and plain sentences begin, and how
    often the same words stand elsewhere. The evidence is summed over the corpus.
-2. A full stop after a word that, in the document at hand or else in the corpus, is hardly ever
-   without its stop and never ends a paragraph belongs to an abbreviation and ends nothing. After one
-   that does end paragraphs (etc., p.m.) it ends a sentence if what follows looks like a beginning. A
+2. A full stop after a word that, in the corpus, is hardly ever without its stop and never ends a
+   paragraph belongs to an abbreviation and ends nothing. After one that does end paragraphs (etc.,
+   p.m.) it ends a sentence if what follows looks like a beginning. Of words that the corpus says
+   nothing about, those that the whole document at hand shows to be abbreviations end a sentence only
+   before a known beginning or a word that the document also writes small, not before a name. A
    number before a stop is an ordinal where the next word is hardly ever a beginning.
 
 Marks inside quotations and brackets end nothing; after a quotation that holds an end mark, the next
@@ -278,8 +280,10 @@ def sentences(text: str | None, known: dict[str, int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     wide = width(text)
     lower = not any(c.isupper() for c in text[:2000]) and not any(c.isupper() for c in text)
+    # where all is written small, a small letter after a stop shows nothing
+    own, common = (set(), set()) if lower else own_clues(text)
     for a, b, kind in blocks(text):
-        cuts = [b] if kind != "prose" else [*(a + c for c in cut_points(text[a:b], known, wide, lower)), b]
+        cuts = [b] if kind != "prose" else [*(a + c for c in cut_points(text[a:b], known, wide, lower, own, common)), b]
         start = a
         for c in cuts:
             x, y = start, c
@@ -293,13 +297,27 @@ def sentences(text: str | None, known: dict[str, int]) -> list[tuple[int, int]]:
     return out
 
 
-def own_clues(p: str) -> set[str]:
-    """Words that this paragraph itself shows to be abbreviations: a stop with a small letter or comma after it, never without one."""
-    found = {m[1].lower() for m in re.finditer(r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]{1,4})\.(?=,|\s+\p{Ll}|[-\p{Ll}])", p)}
-    return {w for w in found if not re.search(rf"(?<![\p{{L}}\p{{M}}.]){re.escape(w)}(?![\p{{L}}\p{{M}}.])", p, re.I)}
+def own_clues(text: str) -> tuple[set[str], set[str]]:
+    """Of the document's own: abbreviations, and words that are also written small, so that a capital makes no name of them.
 
-
-def cut_points(p: str, known: dict[str, int], wide: int, lower: bool) -> list[int]:
+    Abbreviations are words that the document itself shows to be abbreviations: a small letter, digit or comma after a stop, never a
+    paragraph's end and never without the stop; of more than 4 letters only if shown twice.
+    """
+    stops: dict[str, list[int]] = {}
+    alone = set()
+    for w, a, b, c in evidence(text):
+        if w.startswith("s:"):
+            x = stops.setdefault(w[2:], [0, 0, 0])
+            x[0] += a
+            x[1] += b
+            x[2] += c
+        elif w.startswith("w:"):
+            alone.add(w[2:])
+    own = {w for w, (n, last, small) in stops.items() if w not in alone and w not in ("#", "##") and len(w) <= ABBREVIATION and not last and small >= (1 if len(w) <= 4 else 2) and 2 * small >= n}
+    return own, {w for w in NEXT.findall(text) if w.islower()} if own else set()
+
+
+def cut_points(p: str, known: dict[str, int], wide: int, lower: bool, own: set[str], common: set[str]) -> list[int]:
     cuts: list[int] = []
     inside = spans(p)
     hidden = bytearray(len(p) + 1)
@@ -307,7 +325,6 @@ def cut_points(p: str, known: dict[str, int], wide: int, lower: bool) -> list[in
     for x, y in inside:
         hidden[x:y] = b"\x01" * (y - x)
         closes[y] = x
-    own = own_clues(p)
     greek = re.search(r"\p{Greek}", p) is not None
     n = len(p)
     for m in MARK.finditer(p):
@@ -394,7 +411,9 @@ def cut_points(p: str, known: dict[str, int], wide: int, lower: bool) -> list[in
             cuts.append(k)
             continue
         low = w.lower()
-        verdict = 2 if low in own and known.get("s:" + low, 2) != 1 else known.get("s:" + low, 0)
+        verdict = known.get("s:" + low, 0)
+        if verdict == 0 and low in own:  # it may end a sentence only before a beginning, not before a name
+            verdict = 1 if fresh and (begins or word[:1].isupper() and word.lower() in common) else 2
         initial = len(w) == 1 and w.isupper() or len(w) == 1 and not w.islower() and w.isalpha()
         if verdict == 0 and initial:
             verdict = 2
@@ -452,7 +471,7 @@ def split(df: DataFrame, key: str, text: str) -> DataFrame:
     spark = df.sparkSession
     from tracemill.session import written
 
-    verdicts = written(decided(gathered(df, text)), "verdicts")
+    verdicts = written(decided(written(gathered(df, text), "sums")), "verdicts")
     schema = df.select(key).schema.add("sent_start", "integer").add("sent_end", "integer")
 
     def emit(keys: list, units: list[list[tuple[int, int]]], kind: pa.DataType) -> pa.RecordBatch:
