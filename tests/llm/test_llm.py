@@ -108,6 +108,21 @@ def test_cut_answers_that_only_the_corpus_knows(spark, whole, cut):
     assert [r.seq for r in truncation.found(res, case).collect()] == [500]
 
 
+def test_counts_decide_every_cut(spark, monkeypatch):
+    case = spark.createDataFrame([("s:1:clean:x", ART, REF, "Call the dentist on Monday please.", "Fix this:", "s")], CASES)
+    res = spark.createDataFrame([(1, "s:1:clean:x", REF), (2, "s:1:clean:x", REF[:100]), (3, "s:1:clean:x", REF[:70] + "\n\nI hope this helps!"), (4, None, REF[:100]), (5, "s:1:clean:x", REF + "\n\nI hope this helps!")], "seq long, case_id string, response string")
+    assert sorted(r.seq for r in truncation.found(res, case).collect()) == [2, 3]
+    whole = truncation.counted
+    monkeypatch.setattr(truncation, "counted", lambda s: whole(s).limit(0))
+    assert truncation.found(res, case).count() == 0
+
+
+def test_marks_after_a_cut_of_any_length(spark):
+    case = spark.createDataFrame([("s:1:clean:x", ART, REF, None, "Fix this:", "s")], CASES)
+    res = spark.createDataFrame([(1, "s:1:clean:x", REF), (2, "s:1:clean:x", REF[:100] + " […]" + "\n" * 500 + "```"), (3, "s:1:clean:x", REF + " " * 500)], "seq long, case_id string, response string")
+    assert [r.seq for r in truncation.found(res, case).collect()] == [2]
+
+
 def test_whole_thai_answers_end_without_a_mark(spark):
     case = spark.createDataFrame([("s:1:clean:x", ART, None, None, "Fix this:", "s")], CASES)
     a, b = "กรรมการตรวจแผนผังแล้ว", "ทีมงานจัดรายชื่อประจำสัปดาห์"

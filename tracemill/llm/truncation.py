@@ -1,76 +1,78 @@
-r"""Answers whose text was cut off, found by word trigrams that run on elsewhere but never end a text.
-
-Pure SQL. A text's words (single signs in scripts without spaces, parts of camel-case names in code,
-digits as written, in the corpus all alike) give its trigrams. The trigrams at an answer's end, the last one and those that
-leave out up to ``BACK`` last words, are joined with counts of the same trigrams inside texts and at
-their ends, in two scopes:
-
-* its own case: inside and at the end of the artifact, the reference and the afterthought of the case. An end that lies
-  inside these texts but not at their ends, with more text following than an edit of the last words
-  explains, is cut; one at their end is whole, whatever the corpus says.
-* the corpus: all artifacts, references, afterthoughts and distinct answers. It decides for ends that the case's
-  texts don't know (translations, remarks, absorbed tails): cut if there is no
-  end mark and the trigram is frequent inside texts and almost never their end.
-
-Marks that close something (fences, tags, quotes, ellipses) are taken off before an answer's end is
-read, since they may be added after a cut.
-
-Edge cases: null, empty and blank answers are no case (there is no text to be cut), nor are answers
-of unknown cases whose end the corpus doesn't know. Null case ids are judged by the corpus alone.
-Repeated deliveries are judged one by one and alike. Extra columns are ignored. Whole texts are
-counted; only the end of an answer is looked up.
+r"""Answers whose text was cut off, found by word trigrams that run on elsewhere but hardly ever end a text.
+
+Pure SQL. All distinct answers and the artifacts, references and afterthoughts of the cases are read as
+words (single signs in scripts without spaces, digits alike, case and marks aside), and one pass counts
+every trigram of every text: how often it stands in it, how often as its end, how often near its end.
+The counts are kept per case (answers to one case are versions of one text) and are summed over the
+corpus. The trigram at an answer's end is joined with them, and the counts decide:
+
+* in the own case: the trigram is frequent (it runs on in a share ``FREQUENT`` of the case's answers) and
+  hardly ever an end (``RARELY_LAST``): cut. It is the end of one of the case's own texts: whole.
+* if the case doesn't know it, its third word may be a piece of one: trigrams with the same first two
+  words whose third begins like it are counted instead; or an edited word stands at the end: the last
+  known of the trigrams that leave out up to ``BACK`` words is counted, and must hardly ever be near an end.
+* a last paragraph that no other text of the case goes on with may have been added: then the end before
+  it is judged too, by the same counts.
+* what the case doesn't know at all (translations, remarks) is asked of the corpus in the same way; there
+  the share of ends must be low with confidence (Wilson's upper bound) and the answer has no end mark.
+
+All bounds are shares, so a verdict doesn't hang on the corpus' size. Closing marks (fences, tags, notes
+of truncation) that may be added after a cut are taken off first.
+
+Edge cases: null, empty and blank answers are no case (there is no text to be cut), nor are answers of
+fewer than three words that nothing continues. Null case ids are judged by the corpus alone, unknown
+ones also by the other answers to them. Repeated deliveries are judged one by one and alike, and count as
+one text. Extra columns are ignored. Whole texts are counted. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.spelling import squeezed
 from tracemill.session import sized_broadcast, written
 
-#: Last words that may be left out to find a known trigram.
-BACK = 5
-#: Least count inside texts, and largest share of ends, of a trigram that doesn't end texts.
-FREQUENT, RARELY_LAST = 12, 0.02
-#: Words by which an edited ending may be shorter than the original one.
-EDIT = 5
-#: Signs at an end that the end is read without, and the part of an answer that holds its last words.
-CLOSERS = r"(?i)(?:\s|```|~~~|</?[\p{L}\d_-]+>|[(\[](?:cut|more|truncated|continued)[)\]]|\.{2,}|…|[\"”’»」』*_])+$"
-#: Words of context by which one of a trigram's places in a text is chosen.
-CONTEXT = 12
-#: Words of context that must agree for an end to be taken for the text's end at once, and for a place at all.
-SURE, ALIKE = 8, 7
-TAIL = 240
-
-WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|\p{Lu}?[\p{Ll}\p{M}]+|\p{Lu}+|\p{N}+|[\p{Lo}\p{M}]+"
+#: Last words that may be left out to find a known trigram, and words by which an edited ending may be shorter.
+BACK, EDIT = 5, 5
+#: Part of a case's answers that a trigram must run on in to be frequent, and largest share of ends among its places.
+FREQUENT, RARELY_LAST = 0.3, 0.1
+#: Upper bound of the share of ends among a trigram's places in the corpus.
+CORPUS_LAST = 0.25
+#: Texts of one case that are counted in one partition; a case with more is split.
+TOGETHER = 20_000
+#: Tags and notes that may be added after a cut (with letters, so that they would be taken for words).
+ADDED = r"(?i)(?:(?:</?[\p{L}\d_-]+>|[(\[](?:cut|more|truncated|continued)[)\]])[^\p{L}\p{N}]*+)++$"
+#: Marks at an end that the end is read without when it is asked for an end mark.
+CLOSERS = r"(?i)(?<![\s\"”’»」』*_…])(?:\s|```|~~~|</?[\p{L}\d_-]+>|[(\[](?:cut|more|truncated|continued|[^\p{L}\p{N}\s]*)[)\]]|\.{2,}|…|[\"”’»」』*_])++$"
+#: Signs that are words by themselves.
+SIGN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 #: Thai has no end mark: a blank between its letters ends a sentence, so the words before it are an end too.
 THAI_GAP = r"(?<=\p{IsThai})\s+(?=\p{IsThai})"
 FULL_STOP = r"[.!?。！？।؟;；:)）\]}]$"
+#: Three words in a row, from each word on.
+TRIGRAM = "(?=([^ ]+ [^ ]+ [^ ]+))[^ ]+"
 
 
 def _words(c: str) -> str:
-    return f"transform(regexp_extract_all({c}, r'{WORDS}', 0), w -> lower(w))"
+    """The text's words with single blanks between them, without what may be added after a cut."""
+    return rf"trim(regexp_replace(lower(translate(regexp_replace({c}, r'{ADDED}', ''), '123456789', '000000000')), r'[^\p{{L}}\p{{M}}\p{{N}}]+', ' '))"
 
 
-def _tail() -> str:
-    """The end of an answer without closing marks."""
-    return rf"concat(left(right(response, {TAIL}), length(right(response, {TAIL})) - 40), regexp_replace(right(response, 40), r'{CLOSERS}', ''))"
+def _apart(c: str) -> str:
+    """Words of ``_words`` with signs that are words set apart."""
+    return rf"case when {c} rlike r'{SIGN}' then trim(regexp_replace(regexp_replace({c}, r'({SIGN})', ' $1 '), ' +', ' ')) else {c} end"
 
 
-def _plain(c: str) -> str:
-    """Words of the corpus scope: as ``_words``, all digits alike; one ``lower`` for the whole text instead of one a word."""
-    return rf"split(lower(array_join(regexp_extract_all(translate({c}, '123456789', '000000000'), r'{WORDS}', 0), ' ')), ' ')"
+def _gram(k: str) -> str:
+    """Hash of the first two words, and the third, of the trigram that leaves out the last ``k`` words of ``w``."""
+    return f"xxhash64(concat(get(w, size(w) - {k} - 3), ' ', get(w, size(w) - {k} - 2))) as ab, get(w, size(w) - {k} - 1) as c"
 
 
-def _gram(w: str, i: str) -> str:
-    """Hash of the three words of ``w`` from place ``i`` (from 0)."""
-    return f"xxhash64({w}[{i}], {w}[{i} + 1], {w}[{i} + 2])"
-
-
-def _context(w: str, to: str) -> str:
-    """The ``CONTEXT`` words of ``w`` up to place ``to`` (from 1), as bits of a long."""
-    return f"aggregate(slice({w}, greatest(1, {to} - {CONTEXT} + 1), least({to}, {CONTEXT})), 0L, (s, x) -> s | shiftleft(1L, cast(hash(x) & 63 as int)))"
+def _rarely(last: str, n: str) -> str:
+    """Wilson's upper bound of the share ``last / n`` is low (false for n = 0)."""
+    z = 1.96**2
+    return f"({n} > 0 and ({last} + {z / 2} + 1.96 * sqrt({last} * (1 - {last} / greatest({n}, 1)) + {z / 4})) / ({n} + {z}) <= {CORPUS_LAST})"
 
 
 def cluster(case_id: str) -> str:
@@ -78,84 +80,115 @@ def cluster(case_id: str) -> str:
     return rf"regexp_replace({case_id}, '^([^:]+:[^:]+):.*$', '$1')"
 
 
-def views(results: DataFrame, cases: DataFrame) -> None:
+def views(results: DataFrame, cases: DataFrame) -> SparkSession:
+    """``_cut_rows``: the answers with the key of their case ('' for null); ``_cut_texts``: the distinct texts of each case."""
     spark = results.sparkSession
-    results.where("response is not null").select(F.col("seq").alias("id"), squeezed(F.col("case_id")).alias("case_key"), "response").createOrReplaceTempView("_cut_rows")
-    cases.select(squeezed(F.col("id")).alias("case_key"), "artifact", "reference", "afterthought").createOrReplaceTempView("_cut_cases")
+    results.where("response is not null").select("seq", squeezed(F.col("case_id")).alias("_k"), "response").createOrReplaceTempView("_cut_answers")
+    cases.select(squeezed(F.col("id")).alias("_k"), "artifact", "reference", "afterthought").createOrReplaceTempView("_cut_cases")
+    spark.sql(f"select seq, coalesce({cluster('_k')}, '') as ckey, response from _cut_answers").createOrReplaceTempView("_cut_rows")
+    spark.sql(rf"""
+        select ckey, response as text, true as answer from _cut_rows where response rlike r'[\p{{L}}\p{{N}}]' group by ckey, response
+        union all select distinct coalesce({cluster('_k')}, '') as ckey, text, false as answer from (select _k, explode(array(artifact, reference, afterthought)) as text from _cut_cases) where text is not null""").createOrReplaceTempView("_cut_texts")
+    return spark
+
+
+def counted(spark: SparkSession) -> DataFrame:
+    """``kh, ab, c, n, last, near, sure``: each trigram (hash of two words, and the third) of each case, counted over all its texts.
+
+    ``n`` places, ``last`` of them at an end, ``near`` near one, ``sure`` at the end of the artifact, the reference or the afterthought.
+    """
+    sizes = spark.sql(f"select xxhash64(ckey) as kh, cast(ceil(count(*) / {TOGETHER}) as int) as parts from _cut_rows group by ckey having count(*) > {TOGETHER}")
+    texts = spark.sql("select xxhash64(ckey) as kh, text, answer from _cut_texts").join(sized_broadcast(sizes, sizes.count()), "kh", "left")
+    texts.select("kh", F.expr("pmod(xxhash64(text), coalesce(parts, 1))").alias("salt"), "text", "answer").repartition("kh", "salt").createOrReplaceTempView("_cut_spread")
+    # the texts of a case lie together, so its trigrams shrink to their counts before they are shuffled
+    spark.sql(rf"""
+        with pieces as (select kh, salt, answer, explode(case when text rlike r'\p{{IsThai}}' then split(text, r'{THAI_GAP}') else array(text) end) as text from _cut_spread),
+        words as (select kh, salt, answer, {_words('text')} as t from pieces),
+        grams as (select kh, salt, answer, regexp_extract_all({_apart('t')}, '{TRIGRAM}', 1) as g from words),
+        each as (select kh, salt, answer, size(g) - 1 - p as after, xxhash64(substring_index(x, ' ', 2)) as ab, substring_index(x, ' ', -1) as c from (select kh, salt, answer, g, posexplode(g) as (p, x) from grams))
+        select kh, ab, c, count(*) as n, count_if(after = 0) as last, count_if(after <= {BACK + EDIT}) as near, count_if(after = 0 and not answer) as sure from each group by kh, salt, ab, c""").createOrReplaceTempView("_cut_partial")
+    return spark.sql("select kh, ab, c, sum(n) as n, sum(last) as last, sum(near) as near, sum(sure) as sure from (select /*+ REPARTITION(kh, ab) */ * from _cut_partial) group by kh, ab, c")
+
+
+def ends(spark: SparkSession) -> DataFrame:
+    """``ckey, kh, eid, v, w, stopped, ab, c, n, last, sure, answers``: the ends of the distinct answers and the counts of their trigrams.
+
+    ``v`` is 1 for the end before a last paragraph that no other text of the case goes on with (a remark, perhaps). An answer's own places
+    are taken off the counts.
+    """
+    last_words = lambda c: f"split(substring_index({_apart(c)}, ' ', -{BACK + 3}), ' ')"
+    tails = spark.sql(rf"""
+        with a as (select ckey, text, xxhash64(text) as eid, {_words('text')} as t, regexp_extract(text, r'(?s)^(.*\S)\s*\n\s*\n', 1) as s from _cut_texts where answer),
+        b as (select *, case when s <> '' then {_words('s')} end as t1, case when s <> '' then {_words('substr(text, length(s) + 1)')} end as p from a)
+        select ckey, xxhash64(ckey) as kh, eid, {last_words('t')} as w, {last_words('t1')} as w1, get({last_words('p').replace(f"-{BACK + 3}", "1")}, 0) as p,
+          regexp_replace(text, r'{CLOSERS}', '') rlike r'{FULL_STOP}' as stopped, regexp_replace(s, r'{CLOSERS}', '') rlike r'{FULL_STOP}' as stopped1 from b""")
+    tails = written(tails, "tails")
+    tails.createOrReplaceTempView("_cut_tails")
     spark.sql(f"""
-        select {cluster('case_key')} as ckey, explode(array(artifact, reference, afterthought)) as text from _cut_cases""").createOrReplaceTempView("_cut_texts")
+        with e as (select ckey, kh, eid, explode(array(struct(0 as v, w), struct(1 as v, w1 as w), struct(2 as v, array(get(w1, size(w1) - 2), get(w1, size(w1) - 1), p) as w))) as e from _cut_tails),
+        g as (select ckey, kh, eid, e.v, e.w from e where size(e.w) >= 3),
+        asked as (select ckey, eid, kh, v, {_gram('0')} from g)
+        select a.ckey, a.eid, map_from_entries(collect_list(struct(a.v, struct(x.n, x.last, x.sure)))) as m from asked a join _cut_counts x on a.kh = x.kh and a.ab = x.ab and a.c = x.c group by a.ckey, a.eid""").createOrReplaceTempView("_cut_exact")
+    spark.sql("select ckey, count(*) as answers from _cut_tails group by ckey").createOrReplaceTempView("_cut_sizes")
+    return spark.sql(f"""
+        with j as (select t.*, s.answers, e.m from _cut_tails t join _cut_sizes s on t.ckey = s.ckey left join _cut_exact e on t.ckey = e.ckey and t.eid = e.eid),
+        v as (select *, explode(if(t_new and size(w1) >= 2, array(0, 1), array(0))) as v from (select *, p is not null and coalesce(try_element_at(m, 2).n, 0) <= 1 and coalesce(try_element_at(m, 0).sure, 0) = 0 as t_new from j)),
+        x as (select ckey, kh, eid, v, if(v = 0, w, w1) as w, if(v = 0, stopped, stopped1) as stopped, try_element_at(m, v) as x, answers from v)
+        select ckey, kh, eid, v, w, stopped, {_gram('0')}, greatest(coalesce(x.n, 0) - 1, 0) as n, greatest(coalesce(x.last, 0) - if(v = 0, 1, 0), 0) as last, coalesce(x.sure, 0) as sure, answers from x""")
 
 
 def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """``ids, cut``: rows of results with equal ends, and whether their text is cut."""
-    spark = results.sparkSession
-    views(results, cases)
-    # equal answers to one text are looked up once
-    spark.sql(f"select {cluster('case_key')} as ckey, response, collect_list(id) as ids from _cut_rows group by 1, 2").createOrReplaceTempView("_cut_grouped")
-    written(spark.sql(rf"""
-        select xxhash64(ckey, response) as eid, ckey, response, ids, slice(w, greatest(1, size(w) - {CONTEXT + BACK - 1}), {CONTEXT + BACK}) as w
-        from (select *, {_words(_tail())} as w from _cut_grouped where right(response, {TAIL}) rlike r'[\p{{L}}\p{{N}}]')"""), "ends").createOrReplaceTempView("_cut_ends")
-    local = spark.sql(f"""
-        with texts as (select ckey, {_words('text')} as w from (select distinct ckey, text from _cut_texts where text is not null)),
-        grams as (select explode(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(ckey, {_gram('w', 'i')}) as g, size(w) - 3 - i as after, get(w, i + 3) as next, i + 3 as n, {_context('w', 'i + 3')} as near))) as x from texts where size(w) >= 3)
-        select x.g, x.after, x.next, x.near, x.n from grams""")
-    written(local, "places").createOrReplaceTempView("_cut_places")
-    # ends that lie where the case's texts end too need no second look
+    """``ckey, eid, cut`` and the counts that decided it, of each distinct answer to a case (``eid`` is its text's hash)."""
+    spark = views(results, cases)
+    written(counted(spark), "trigrams").createOrReplaceTempView("_cut_counts")
+    written(ends(spark), "ends").createOrReplaceTempView("_cut_ends")
+    spark.sql("select * from _cut_ends where ckey <> '' and n <= 0 and last <= 0").createOrReplaceTempView("_cut_unknown")
+    # longer words that begin like the end's last one; each counted word gives its beginnings, so that both sides meet by equality
+    spark.sql("""
+        with asked as (select distinct kh, ab from _cut_ends where ckey <> '' and sure = 0 and ab is not null),
+        longer as (select kh, ab, n, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from _cut_counts left semi join asked using (kh, ab) where length(c) > 1),
+        pieces as (select kh, ab, c, sum(n) as n from longer group by kh, ab, c)
+        select u.ckey, u.eid, u.v, p.n as piece from _cut_ends u join pieces p on u.kh = p.kh and u.ab = p.ab and u.c = p.c where u.ckey <> '' and u.sure = 0""").createOrReplaceTempView("_cut_pieces")
     spark.sql(f"""
-        select distinct eid from (select eid, size(w) as n, xxhash64(ckey, {_gram('w', 'size(w) - 3')}) as g, {_context('w', 'size(w)')} as near from _cut_ends where size(w) >= 3) e join (select * from _cut_places where after = 0) l on e.g = l.g
-        where bit_count(e.near & l.near) >= least(bit_count(l.near), {SURE})""").createOrReplaceTempView("_cut_sure")
-    rest = spark.sql(rf"""
-        with o as (select e.*, {_tail()} as tail from _cut_ends e left anti join _cut_sure s on e.eid = s.eid),
-        a as (select eid, ids, ckey, w, tail rlike r'{FULL_STOP}' as stopped, regexp_extract(tail, r'(?s)^(.*\S)\s*\n\s*\n', 1) as t1, {_plain('tail')} as z from o),
-        b as (select *, case when t1 <> '' then {_words('t1')} end as w1 from a)
-        select eid, ids, stopped,
-          case when size(z) >= 3 then {_gram('z', 'size(z) - 3')} end as g0, case when size(z) >= 4 then {_gram('z', 'size(z) - 4')} end as g1,
-          transform(filter(sequence(0, {BACK}), k -> size(w) >= k + 3), k -> struct(0 as v, k as k, get(w, size(w) - 1) as last, xxhash64(ckey, {_gram('w', 'size(w) - k - 3')}) as g, {_context('w', 'size(w) - k')} as near, size(w) - k as n)) as whole,
-          transform(filter(sequence(0, {BACK}), k -> size(w1) >= k + 3), k -> struct(1 as v, k as k, get(w1, size(w1) - 1) as last, xxhash64(ckey, {_gram('w1', 'size(w1) - k - 3')}) as g, {_context('w1', 'size(w1) - k')} as near, size(w1) - k as n)) as short
-        from b""")
-    written(rest, "unsure").createOrReplaceTempView("_cut_rest")
-    # of several places and back-offs, the one whose words before it are most alike; then the least back-off
-    spark.sql(f"""
-        select eid, min_by(struct(x.k, x.v, x.last, l.after, l.next), struct(x.v, x.k - bit_count(x.near & l.near) - if(l.after <= x.k, 2, 0), x.k, l.after)) as m
-        from (select eid, explode(concat(whole, coalesce(short, array()))) as x from _cut_rest) a join _cut_places l on a.x.g = l.g
-        where bit_count(x.near & l.near) >= least({ALIKE}, bit_count(x.near) - 1, bit_count(l.near) - 1) group by eid""").createOrReplaceTempView("_cut_here")
-    verdict = f"""
-        case when m.v = 1 and m.after - m.k <= 0 then null
-             when m.k = 0 then m.after > 0
-             when m.after - m.k > {EDIT} then true
-             when m.after <= 0 then false
-             else m.k = 1 and not (stopped and m.v = 0) and startswith(m.next, m.last) and m.next <> m.last
-        end"""
-    local_said = written(spark.sql(f"select e.eid, e.ids, e.stopped, e.g0, e.g1, case when h.eid is not null then {verdict} end as cut from _cut_rest e left join _cut_here h on e.eid = h.eid"), "local")
-    local_said.createOrReplaceTempView("_cut_local")
-    asked = spark.sql("select distinct g from (select explode(array(g0, g1)) as g from _cut_local where cut is null) where g is not null")
-    counts = corpus(spark, asked)
-    never = f"coalesce({{0}}.inside, 0) >= {FREQUENT} and {{0}}.last <= {RARELY_LAST} * ({{0}}.inside + {{0}}.last)"
-    counts.createOrReplaceTempView("_cut_counts")
-    # one more word is left out only where the end itself is unknown: one that ends other texts too is whole
+        with asked as (select ckey, eid, v, kh, k, {_gram('k')} from (select *, explode(sequence(1, {BACK})) as k from (select ckey, eid, v, kh, w from _cut_unknown)) where size(w) >= k + 3)
+        select a.ckey, a.eid, a.v, min_by(struct(a.k, n.n - 1 as n, greatest(n.near - 1, 0) as near), a.k) as b from asked a join _cut_counts n on a.kh = n.kh and a.ab = n.ab and a.c = n.c where n.n > 1 group by a.ckey, a.eid, a.v""").createOrReplaceTempView("_cut_backs")
+    # frequent inside the texts of the case, and hardly ever their end
+    runs_on = f"{{0}} >= {FREQUENT} * f.answers"
+    own = written(spark.sql(f"""
+        with e as (select f.ckey, f.eid, f.v, f.w, f.ab, f.c, f.stopped, f.n, f.last, f.sure, f.answers, coalesce(p.piece, 0) as piece, b.b.k as back, b.b.n as back_n, b.b.near as back_near,
+          case when f.ckey = '' then null when f.sure > 0 then false when {runs_on.format('f.n - f.last')} and f.last <= {RARELY_LAST} * f.n then true
+            when {runs_on.format('p.piece')} and f.n <= {RARELY_LAST} * p.piece and not f.stopped then true
+            when f.n > 0 then if(f.last > 0 and f.v = 0, false, null) when {runs_on.format('b.b.n')} and not f.stopped then b.b.near <= {RARELY_LAST} * b.b.n end as cut
+          from _cut_ends f left join _cut_pieces p on f.ckey = p.ckey and f.eid = p.eid and f.v = p.v left join _cut_backs b on f.ckey = b.ckey and f.eid = b.eid and f.v = b.v)
+        select ckey, eid, max_by(struct(v, w, ab, c, stopped, n, last, sure, answers, piece, back, back_n, back_near, cut), struct(coalesce(cut, false), -v)) as e, bool_or(cut) as cut from e group by ckey, eid"""), "own-case")
+    own.selectExpr("ckey", "eid", "e.*").createOrReplaceTempView("_cut_own")
+    spark.sql(f"select ckey, eid, ab, c, k from (select ckey, eid, k, {_gram('k')} from (select *, explode(array(0, 1)) as k from (select ckey, eid, w from _cut_own where v = 0 and cut is null and not stopped))) where ab is not null and c is not null").createOrReplaceTempView("_cut_asked")
+    asked = written(spark.sql("select distinct ab from _cut_asked"), "asked")
+    sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked_ab")
+    written(spark.sql("select ab, c, sum(n) as n, sum(last) as last from _cut_counts left semi join _cut_asked_ab using (ab) group by ab, c"), "corpus").createOrReplaceTempView("_cut_corpus")
     return spark.sql(f"""
-        select ids, coalesce(cut, not stopped and (({never.format('a')}) or (coalesce(a.inside, 0) = 0 and coalesce(a.last, 0) <= greatest(1, {RARELY_LAST} * b.inside) and {never.format('b')})), false) as cut
-        from _cut_local e left join _cut_counts a on e.cut is null and e.g0 = a.g left join _cut_counts b on e.cut is null and e.g1 = b.g""")
+        with longer as (select ab, n, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from _cut_corpus where length(c) > 1),
+        pieces as (select ab, c, sum(n) as n from longer group by ab, c),
+        told as (select a.ckey, a.eid, max(if(k = 0, x.n - 1, null)) as n0, max(if(k = 0, x.last - 1, null)) as l0, max(if(k = 1, x.n - 1, null)) as n1, max(if(k = 1, x.last, null)) as l1, max(if(k = 0, p.n, null)) as piece
+          from _cut_asked a left join _cut_corpus x on a.ab = x.ab and a.c = x.c left join pieces p on a.ab = p.ab and a.c = p.c group by a.ckey, a.eid)
+        select o.*  except (w, ab, c, cut), t.n0, t.l0, t.piece as corpus_piece, o.cut is null as by_corpus,
+          coalesce(o.cut, {_rarely('coalesce(t.l0, 0)', 'coalesce(t.n0, 0)')} or coalesce(t.n0, 0) <= 0 and (t.piece > 0 or {_rarely('coalesce(t.l1, 0)', 'coalesce(t.n1, 0)')}), false) as cut
+        from _cut_own o left join told t on o.ckey = t.ckey and o.eid = t.eid""")
 
 
 def found(results: DataFrame, cases: DataFrame) -> DataFrame:
     """``seq`` of the cut rows of results."""
-    return judged(results, cases).where("cut").select(F.explode("ids").alias("seq"))
-
-
-def corpus(spark, asked: DataFrame) -> DataFrame:
-    """``g, inside, last``: counts of the asked trigrams over the distinct answers to each case and the cases' texts."""
-    asked = written(asked, "asked")
-    sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked")
-    return spark.sql(rf"""
-        with texts as (select response as text from _cut_ends union all select distinct text from _cut_texts),
-        words as (select {_plain('text')} as w from (select explode(split(text, r'{THAI_GAP}')) as text from texts where text is not null)),
-        grams as (select size(w) as n, posexplode(transform(sequence(0, size(w) - 3), i -> {_gram('w', 'i')})) as (p, g) from words where size(w) >= 3)
-        select g, count_if(p < n - 3) as inside, count_if(p = n - 3) as last from grams left semi join _cut_asked using (g) group by g""")
+    cut = written(judged(results, cases).where("cut").select("ckey", "eid"), "cut")
+    cut.createOrReplaceTempView("_cut_found")
+    return cut.sparkSession.sql("select seq from (select seq, ckey, xxhash64(response) as eid from _cut_rows) left semi join _cut_found using (ckey, eid)")
 
 
 def shares(results: DataFrame, cases: DataFrame, flagged: DataFrame) -> DataFrame:
-    """``source, n_rows, n_cut, share`` of results by the source of their case (null where unknown)."""
+    """``source, n_rows, n_cut, share`` of results by the source of their case (null where unknown), and what ``finish_reason`` said:
+    ``n_said`` rows that it calls cut, ``n_both`` of them cut indeed."""
     source = cases.where("id is not null").groupBy(squeezed(F.col("id")).alias("case_key")).agg(F.max("source").alias("source"))
-    rows = results.select("seq", squeezed(F.col("case_id")).alias("case_key")).join(source, "case_key", "left").join(flagged.select("seq", F.lit(1).alias("cut")), "seq", "left")
-    return rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.count("cut").alias("n_cut")).withColumn("share", F.col("n_cut") / F.col("n_rows"))
+    reason = F.lower("finish_reason") if "finish_reason" in results.columns else F.lit(None).cast("string")
+    said = F.coalesce(reason.isin("length", "max_tokens"), F.lit(False)).alias("said")
+    rows = results.select("seq", squeezed(F.col("case_id")).alias("case_key"), said).join(source, "case_key", "left").join(flagged.select("seq", F.lit(1).alias("cut")), "seq", "left")
+    out = rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.count("cut").alias("n_cut"), F.count_if("said").alias("n_said"), F.count_if(F.col("said") & F.col("cut").isNotNull()).alias("n_both"))
+    return out.withColumn("share", F.col("n_cut") / F.col("n_rows"))
