@@ -7,19 +7,35 @@ from tracemill.functions import compose, text
 from tracemill.operators import audit, scoring
 
 
-def test_code_span_is_the_fenced_block():
-    assert text.returned("Sure.\n```python\nx = 1\n```\nHope it works.", "code") == "x = 1\n"
+def span(spark, answer, genre="prose"):
+    return spark.createDataFrame([(answer, genre)], "response string, genre string").select(text.artifact_span("response", "genre").alias("s")).first().s
 
 
-def test_commentary_after_a_rule_goes_and_an_artifact_after_one_stays():
-    assert text.returned("Body stays.\n\n---\n\nThe aside was removed as it is off topic.", "prose") == "Body stays."
-    assert "Body stays." in text.returned("Intro\n\n---\n\nBody stays.", "prose")
+def test_code_span_is_the_fenced_block(spark):
+    assert span(spark, "Sure.\n```python\nx = 1\n```\nHope it works.", "code") == "x = 1\n"
 
 
-def test_farewells_and_parentheses():
-    assert text.returned("Body.\n\nGood luck with the move!", "prose") == "Body."
-    assert text.returned("Body (the last line was removed as unrelated) ends.", "prose").startswith("Body")
-    assert "removed" not in text.returned("Body (the last line was removed as unrelated) ends.", "prose")
+def test_commentary_after_a_rule_goes_and_an_artifact_after_one_stays(spark):
+    assert span(spark, "Body stays.\n\n---\n\nThe aside was removed as it is off topic.") == "Body stays."
+    assert "Body stays." in span(spark, "Intro\n\n---\n\nBody stays.")
+
+
+def test_farewells_and_parentheses(spark):
+    assert span(spark, "Body.\n\nGood luck with the move!") == "Body."
+    assert span(spark, "Body (the last line was removed as unrelated) ends.").startswith("Body")
+    assert "removed" not in span(spark, "Body (the last line was removed as unrelated) ends.")
+
+
+@pytest.mark.parametrize(("answer", "left"), [
+    ("Sorry to hear that - hopefully this helps.\nBody.", "Body."), ("Body. The mention of the ferry does not pertain; it seems out of place.", "Body."),
+    ("> **Note:** the ferry line is unrelated and was left out.\nBody.", "Body."), ("On an unrelated note, the ferry was late.", "On an unrelated note, the ferry was late."),
+    ('Your last line ("The ferry sails. Soon.") seems to be a personal reminder. Body stays.', "Body stays."), ("Body.\n\nSorry to hear of the ferry.\n\nGood luck with the move!", "Body."),
+    ("It contains two unrelated sentences, so here is each:\n\nBody one.\n\nThe ferry was late.", "Body one."), ("Part one and two do not match.\n\n2. A list item stays.", "Part one and two do not match.\n\n2. A list item stays."),
+    ("You gave two unrelated parts.\n\n**Part 1:** Body.\n\n**Part 2:** The ferry was late.", "**Part 1:** Body."), ("", ""), (None, None), ("…\n\n\n", "…"), ("a" * 50_000, "a" * 50_000),
+])
+def test_spans(spark, answer, left):
+    got = span(spark, answer)
+    assert got == left or left is not None and got.endswith(left) and len(got) < len(answer)
 
 
 def test_tiers(spark):
@@ -29,9 +45,10 @@ def test_tiers(spark):
 
 
 def test_windows_and_verdicts(spark):
-    df = spark.createDataFrame([('say {"genuine": true, "reason": "r"} end',), ("none",), (None,)], "t string")
+    df = spark.createDataFrame([('say {"genuine": true, "reason": "r"} end',), ("none",), (None,), ('{"genuine": true} {"genuine": false}',), ('{"genuine": "no", "x": {"a": [1]}}',), ('{"genuine": 0}',), ('{"a":1}] [{"b":2}',)], "t string")
     got = [r.v for r in df.select(text.verdict(F.col("t")).alias("v")).collect()]
-    assert got[0].genuine is True and got[1].reason == got[2].reason == "PARSE_FAIL"
+    assert got[0].genuine is True and got[1].reason == got[2].reason == got[3].reason == got[6].reason == "PARSE_FAIL"
+    assert got[4].genuine is True and got[5].genuine is False and got[5].reason is None
     w = df.select(text.windowed(F.lit("a" * 50 + "b" * 50), 10).alias("w")).first().w
     assert w == "a" * 6 + text.MARKER + "b" * 4
 

@@ -33,7 +33,7 @@ def flagged(expected: DataFrame) -> DataFrame:
         "nonstop_finish": F.col("finish_reason").isNotNull() & (F.col("finish_reason") != "stop"), "refusal_like": T.refuses(F.col("response")),
         "empty_artifact_span": (text != "") & (F.coalesce("span", F.lit("")) == ""),
         "severely_short_vs_clean": (F.col("condition") != "clean") & (F.col("clean_words") >= 80) & (F.col("words") < 12) & (F.col("words") < 0.15 * F.col("clean_words")),
-        "python_syntax_error": (F.col("genre") == "code") & (F.coalesce("span", F.lit("")) != "") & ~T.parses_as_python("span"),
+        "python_syntax_error": (F.col("genre") == "code") & (F.coalesce("span", F.lit("")) != "") & T.python_problem("span").isNotNull(),
     }
     flags = F.when(~F.col("row_present"), F.array(F.lit("missing"))).otherwise(F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()])))
     return g.withColumn("flags", flags).select("model_key", "case_key", "cluster", "source", "genre", "condition", "row_present", "chars", "words", "flags")
