@@ -1,7 +1,7 @@
 r"""Answers whose text was cut off, found by word trigrams that run on elsewhere but hardly ever end a text.
 
 Pure SQL. All distinct answers and the artifacts, references and afterthoughts of the cases are read as
-words (single signs in scripts without spaces, digits alike, case and marks aside), and one pass counts
+words (single signs in scripts without spaces, case and marks aside), and one pass counts
 every trigram of every text: how often it stands in it, how often as its end, how often near its end.
 The counts are kept per case (answers to one case are versions of one text) and are summed over the
 corpus. The trigram at an answer's end is joined with them, and the counts decide:
@@ -41,32 +41,34 @@ FREQUENT, RARELY_LAST = 0.3, 0.1
 CORPUS_LAST = 0.25
 #: Texts of one case that are counted in one partition; a case with more is split.
 TOGETHER = 20_000
+# The patterns of an end are written backwards and read from the start of the reversed text, so that they cost what they match.
 #: Tags and notes that may be added after a cut (with letters, so that they would be taken for words).
-ADDED = r"(?i)(?:(?:</?[\p{L}\d_-]+>|[(\[](?:cut|more|truncated|continued)[)\]])[^\p{L}\p{N}]*+)++$"
-#: Marks at an end that the end is read without when it is asked for an end mark.
-CLOSERS = r"(?i)(?<![\s\"”’»」』*_…])(?:\s|```|~~~|</?[\p{L}\d_-]+>|[(\[](?:cut|more|truncated|continued|[^\p{L}\p{N}\s]*)[)\]]|\.{2,}|…|[\"”’»」』*_])++$"
-#: Signs that are words by themselves.
-SIGN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
+ADDED = r"^(?:[^\p{L}\p{N}>)\]]*+(?:>[\p{L}\d_-]+/?<|[)\]](?i:tuc|erom|detacnurt|deunitnoc)[(\[]))+"
+#: Closing marks, and an end mark before them.
+STOPPED = r"^(?:\s|```|~~~|>[\p{L}\d_-]+/?<|[)\]](?i:tuc|erom|detacnurt|deunitnoc|[^\p{L}\p{N}\s]*)[(\[]|\.{2,}|…|[\"”’»」』*_])*+[.!?。！？।؟;；:)）\]}]"
+#: The last words of a text.
+LAST = r"^(?:[^a-z\p{L}\p{M}\p{N}]*+[a-z\p{L}\p{M}\p{N}]++){0,%d}"
+#: Signs that are words by themselves (Thai, Kana and Han; ranges are much faster than scripts).
+SIGN = r"[\x{0E01}-\x{0E5B}\x{3041}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 #: Thai has no end mark: a blank between its letters ends a sentence, so the words before it are an end too.
-THAI_GAP = r"(?<=\p{IsThai})\s+(?=\p{IsThai})"
-FULL_STOP = r"[.!?。！？।؟;；:)）\]}]$"
-#: Three words in a row, from each word on.
-TRIGRAM = "(?=([^ ]+ [^ ]+ [^ ]+))[^ ]+"
+THAI = r"[\x{0E01}-\x{0E5B}]"
+THAI_GAP = rf"(?<={THAI})\s+(?={THAI})"
 
 
-def _words(c: str) -> str:
-    """The text's words with single blanks between them, without what may be added after a cut."""
-    return rf"trim(regexp_replace(lower(translate(regexp_replace({c}, r'{ADDED}', ''), '123456789', '000000000')), r'[^\p{{L}}\p{{M}}\p{{N}}]+', ' '))"
+def _whole(c: str) -> str:
+    """The text without what may have been added after a cut, backwards."""
+    return f"regexp_replace(reverse({c}), r'{ADDED}', '')"
 
 
-def _apart(c: str) -> str:
-    """Words of ``_words`` with signs that are words set apart."""
-    return rf"case when {c} rlike r'{SIGN}' then trim(regexp_replace(regexp_replace({c}, r'({SIGN})', ' $1 '), ' +', ' ')) else {c} end"
+def _words(c: str) -> str:
+    """Array of the words of a text, signs that are words set apart."""
+    apart = f"case when {c} rlike r'{SIGN}' then regexp_replace({c}, r'({SIGN})', ' $1 ') else {c} end"
+    return f"array_remove(split(lower({apart}), r'[^a-z\\p{{L}}\\p{{M}}\\p{{N}}]+'), '')"
 
 
 def _gram(k: str) -> str:
     """Hash of the first two words, and the third, of the trigram that leaves out the last ``k`` words of ``w``."""
-    return f"xxhash64(concat(get(w, size(w) - {k} - 3), ' ', get(w, size(w) - {k} - 2))) as ab, get(w, size(w) - {k} - 1) as c"
+    return f"case when size(w) >= {k} + 3 then xxhash64(get(w, size(w) - {k} - 3), get(w, size(w) - {k} - 2)) end as ab, get(w, size(w) - {k} - 1) as c"
 
 
 def _rarely(last: str, n: str) -> str:
@@ -86,9 +88,10 @@ def views(results: DataFrame, cases: DataFrame) -> SparkSession:
     results.where("response is not null").select("seq", squeezed(F.col("case_id")).alias("_k"), "response").createOrReplaceTempView("_cut_answers")
     cases.select(squeezed(F.col("id")).alias("_k"), "artifact", "reference", "afterthought").createOrReplaceTempView("_cut_cases")
     spark.sql(f"select seq, coalesce({cluster('_k')}, '') as ckey, response from _cut_answers").createOrReplaceTempView("_cut_rows")
-    spark.sql(rf"""
+    texts = spark.sql(rf"""
         select ckey, response as text, true as answer from _cut_rows where response rlike r'[\p{{L}}\p{{N}}]' group by ckey, response
-        union all select distinct coalesce({cluster('_k')}, '') as ckey, text, false as answer from (select _k, explode(array(artifact, reference, afterthought)) as text from _cut_cases) where text is not null""").createOrReplaceTempView("_cut_texts")
+        union all select distinct coalesce({cluster('_k')}, '') as ckey, text, false as answer from (select _k, explode(array(artifact, reference, afterthought)) as text from _cut_cases) where text is not null""")
+    written(texts, "texts").createOrReplaceTempView("_cut_texts")
     return spark
 
 
@@ -101,12 +104,13 @@ def counted(spark: SparkSession) -> DataFrame:
     texts = spark.sql("select xxhash64(ckey) as kh, text, answer from _cut_texts").join(sized_broadcast(sizes, sizes.count()), "kh", "left")
     texts.select("kh", F.expr("pmod(xxhash64(text), coalesce(parts, 1))").alias("salt"), "text", "answer").repartition("kh", "salt").createOrReplaceTempView("_cut_spread")
     # the texts of a case lie together, so its trigrams shrink to their counts before they are shuffled
+    # outer explodes, as plain ones are computed twice: once more in a filter that Spark puts before them
     spark.sql(rf"""
-        with pieces as (select kh, salt, answer, explode(case when text rlike r'\p{{IsThai}}' then split(text, r'{THAI_GAP}') else array(text) end) as text from _cut_spread),
-        words as (select kh, salt, answer, {_words('text')} as t from pieces),
-        grams as (select kh, salt, answer, regexp_extract_all({_apart('t')}, '{TRIGRAM}', 1) as g from words),
-        each as (select kh, salt, answer, size(g) - 1 - p as after, xxhash64(substring_index(x, ' ', 2)) as ab, substring_index(x, ' ', -1) as c from (select kh, salt, answer, g, posexplode(g) as (p, x) from grams))
-        select kh, ab, c, count(*) as n, count_if(after = 0) as last, count_if(after <= {BACK + EDIT}) as near, count_if(after = 0 and not answer) as sure from each group by kh, salt, ab, c""").createOrReplaceTempView("_cut_partial")
+        with pieces as (select kh, salt, answer, explode_outer(case when text rlike r'{THAI}' then split(text, r'{THAI_GAP}') else array(text) end) as text from _cut_spread),
+        bare as (select kh, salt, answer, reverse({_whole('text')}) as text from pieces),
+        words as (select kh, salt, answer, {_words('text')} as w from bare),
+        grams as (select kh, salt, answer, explode_outer(if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> struct(size(w) - 3 - i as after, xxhash64(w[i], w[i + 1]) as ab, w[i + 2] as c)), null)) as x from words)
+        select kh, x.ab, x.c, count(*) as n, count_if(x.after = 0) as last, count_if(x.after <= {BACK + EDIT}) as near, count_if(x.after = 0 and not answer) as sure from grams where x is not null group by kh, salt, x.ab, x.c""").createOrReplaceTempView("_cut_partial")
     return spark.sql("select kh, ab, c, sum(n) as n, sum(last) as last, sum(near) as near, sum(sure) as sure from (select /*+ REPARTITION(kh, ab) */ * from _cut_partial) group by kh, ab, c")
 
 
@@ -116,16 +120,18 @@ def ends(spark: SparkSession) -> DataFrame:
     ``v`` is 1 for the end before a last paragraph that no other text of the case goes on with (a remark, perhaps). An answer's own places
     are taken off the counts.
     """
-    last_words = lambda c: f"split(substring_index({_apart(c)}, ' ', -{BACK + 3}), ' ')"
+    last_words = lambda w: f"slice({w}, greatest(size({w}) - {BACK + 2}, 1), {BACK + 3})"
+    end = lambda c: f"reverse(regexp_extract({_whole(c)}, r'{LAST % (BACK + 3)}', 0))"
     tails = spark.sql(rf"""
-        with a as (select ckey, text, xxhash64(text) as eid, {_words('text')} as t, regexp_extract(text, r'(?s)^(.*\S)\s*\n\s*\n', 1) as s from _cut_texts where answer),
-        b as (select *, case when s <> '' then {_words('s')} end as t1, case when s <> '' then {_words('substr(text, length(s) + 1)')} end as p from a)
-        select ckey, xxhash64(ckey) as kh, eid, {last_words('t')} as w, {last_words('t1')} as w1, get({last_words('p').replace(f"-{BACK + 3}", "1")}, 0) as p,
-          regexp_replace(text, r'{CLOSERS}', '') rlike r'{FULL_STOP}' as stopped, regexp_replace(s, r'{CLOSERS}', '') rlike r'{FULL_STOP}' as stopped1 from b""")
+        with a as (select ckey, text, xxhash64(text) as eid, {end('text')} as t, case when text rlike r'\n\s*\n' then regexp_extract(text, r'(?s)^(.*\S)\s*\n\s*\n', 1) else '' end as s from _cut_texts where answer),
+        b as (select *, case when s <> '' then {end('s')} end as t1, case when s <> '' then substr(text, length(s) + 1) end as p from a),
+        c as (select *, {_words('t')} as w0, {_words('t1')} as w1, {_words('p')} as wp from b)
+        select ckey, xxhash64(ckey) as kh, eid, {last_words('w0')} as w, {last_words('w1')} as w1, get(wp, 0) as p,
+          reverse(text) rlike r'{STOPPED}' as stopped, case when s <> '' then reverse(s) rlike r'{STOPPED}' else false end as stopped1 from c""")
     tails = written(tails, "tails")
     tails.createOrReplaceTempView("_cut_tails")
     spark.sql(f"""
-        with e as (select ckey, kh, eid, explode(array(struct(0 as v, w), struct(1 as v, w1 as w), struct(2 as v, array(get(w1, size(w1) - 2), get(w1, size(w1) - 1), p) as w))) as e from _cut_tails),
+        with e as (select ckey, kh, eid, explode_outer(array(struct(0 as v, w), struct(1 as v, w1 as w), struct(2 as v, array(get(w1, size(w1) - 2), get(w1, size(w1) - 1), p) as w))) as e from _cut_tails),
         g as (select ckey, kh, eid, e.v, e.w from e where size(e.w) >= 3),
         asked as (select ckey, eid, kh, v, {_gram('0')} from g)
         select a.ckey, a.eid, map_from_entries(collect_list(struct(a.v, struct(x.n, x.last, x.sure)))) as m from asked a join _cut_counts x on a.kh = x.kh and a.ab = x.ab and a.c = x.c group by a.ckey, a.eid""").createOrReplaceTempView("_cut_exact")
