@@ -95,91 +95,99 @@ def views(results: DataFrame, cases: DataFrame) -> SparkSession:
     return spark
 
 
+def tails(spark: SparkSession) -> DataFrame:
+    """``ckey, kh, eid, w, w1, p, stopped, stopped1``: the last words of each distinct answer and of it without its last paragraph.
+
+    Left out are answers that end as the artifact, the reference or the afterthought of their case does: they are whole.
+    """
+    last_words = lambda w: f"slice({w}, greatest(size({w}) - {BACK + 2}, 1), {BACK + 3})"
+    end = lambda c: f"reverse(regexp_extract({_whole(c)}, r'{LAST % (BACK + 3)}', 0))"
+    spark.sql(f"select distinct kh, {_gram('0')} from (select xxhash64(ckey) as kh, {_words('t')} as w from (select ckey, {end('text')} as t from _cut_texts where not answer))").createOrReplaceTempView("_cut_sure")
+    return spark.sql(rf"""
+        with a as (select ckey, text, xxhash64(text) as eid, {end('text')} as t, case when text rlike r'\n\s*\n' then regexp_extract(text, r'(?s)^(.*\S)\s*\n\s*\n', 1) else '' end as s from _cut_texts where answer),
+        b as (select *, case when s <> '' then {end('s')} end as t1, case when s <> '' then substr(text, length(s) + 1) end as p from a),
+        c as (select *, {_words('t')} as w0, {_words('t1')} as w1, {_words('p')} as wp from b),
+        d as (select ckey, xxhash64(ckey) as kh, eid, {last_words('w0')} as w, {last_words('w1')} as w1, get(wp, 0) as p,
+          reverse(text) rlike r'{STOPPED}' as stopped, case when s <> '' then reverse(s) rlike r'{STOPPED}' else false end as stopped1 from c),
+        e as (select *, {_gram('0')} from d)
+        select e.* except (ab, c) from e left anti join _cut_sure s on e.kh = s.kh and e.ab = s.ab and e.c = s.c""")
+
+
+def asked(spark: SparkSession) -> None:
+    """``_cut_asked``: the trigrams asked for (``v`` 0 the end, 1 the end before the last paragraph, 2 across it; ``k`` words left out)."""
+    spark.sql(f"""
+        with e as (select ckey, kh, eid, stopped, explode(array(struct(0 as v, w), struct(1 as v, w1 as w), struct(2 as v, array(get(w1, size(w1) - 2), get(w1, size(w1) - 1), p) as w))) as e from _cut_tails),
+        f as (select ckey, kh, eid, stopped, e.v, e.w, explode(if(e.v = 2, array(0), sequence(0, {BACK}))) as k from e where size(e.w) >= 3)
+        select ckey, kh, eid, v, k, stopped, {_gram('k')} from f where size(w) >= k + 3""").createOrReplaceTempView("_cut_asked")
+
+
 def counted(spark: SparkSession) -> DataFrame:
-    """``kh, ab, c, n, last, near, sure``: each trigram (hash of two words, and the third) of each case, counted over all its texts.
+    """``kh, ab, c, n, last, near``: each trigram (hash of two words, and the third) of each case, counted over all its texts.
 
-    ``n`` places, ``last`` of them at an end, ``near`` near one, ``sure`` at the end of the artifact, the reference or the afterthought.
+    ``n`` places, ``last`` of them at an end, ``near`` near one.
     """
     sizes = spark.sql(f"select xxhash64(ckey) as kh, cast(ceil(count(*) / {TOGETHER}) as int) as parts from _cut_rows group by ckey having count(*) > {TOGETHER}")
-    texts = spark.sql("select xxhash64(ckey) as kh, text, answer from _cut_texts").join(sized_broadcast(sizes, sizes.count()), "kh", "left")
-    texts.select("kh", F.expr("pmod(xxhash64(text), coalesce(parts, 1))").alias("salt"), "text", "answer").repartition("kh", "salt").createOrReplaceTempView("_cut_spread")
-    # the texts of a case lie together, so its trigrams shrink to their counts before they are shuffled
+    texts = spark.sql("select xxhash64(ckey) as kh, text from _cut_texts").join(sized_broadcast(sizes, sizes.count()), "kh", "left")
+    texts.select("kh", F.expr("pmod(xxhash64(text), coalesce(parts, 1))").alias("salt"), "text").repartition("kh", "salt").createOrReplaceTempView("_cut_spread")
+    # the texts of a case lie together, so its trigrams shrink to their counts before they are shuffled;
     # outer explodes, as plain ones are computed twice: once more in a filter that Spark puts before them
     spark.sql(rf"""
-        with pieces as (select kh, salt, answer, explode_outer(case when text rlike r'{THAI}' then split(text, r'{THAI_GAP}') else array(text) end) as text from _cut_spread),
-        bare as (select kh, salt, answer, reverse({_whole('text')}) as text from pieces),
-        words as (select kh, salt, answer, {_words('text')} as w from bare),
-        grams as (select kh, salt, answer, explode_outer(if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> struct(size(w) - 3 - i as after, xxhash64(w[i], w[i + 1]) as ab, w[i + 2] as c)), null)) as x from words)
-        select kh, x.ab, x.c, count(*) as n, count_if(x.after = 0) as last, count_if(x.after <= {BACK + EDIT}) as near, count_if(x.after = 0 and not answer) as sure from grams where x is not null group by kh, salt, x.ab, x.c""").createOrReplaceTempView("_cut_partial")
-    return spark.sql("select kh, ab, c, sum(n) as n, sum(last) as last, sum(near) as near, sum(sure) as sure from (select /*+ REPARTITION(kh, ab) */ * from _cut_partial) group by kh, ab, c")
+        with pieces as (select kh, salt, explode_outer(case when text rlike r'{THAI}' then split(text, r'{THAI_GAP}') else array(text) end) as text from _cut_spread),
+        bare as (select kh, salt, reverse({_whole('text')}) as text from pieces),
+        words as (select kh, salt, {_words('text')} as w from bare),
+        grams as (select kh, salt, explode_outer(if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> struct(size(w) - 3 - i as after, xxhash64(w[i], w[i + 1]) as ab, w[i + 2] as c)), null)) as x from words)
+        select kh, x.ab, x.c, count(*) as n, count_if(x.after = 0) as last, count_if(x.after <= {BACK + EDIT}) as near from grams where x is not null group by kh, salt, x.ab, x.c""").createOrReplaceTempView("_cut_partial")
+    return spark.sql("select kh, ab, c, sum(n) as n, sum(last) as last, sum(near) as near from (select /*+ REPARTITION(kh, ab) */ * from _cut_partial) group by kh, ab, c")
 
 
-def ends(spark: SparkSession) -> DataFrame:
-    """``ckey, kh, eid, v, w, stopped, ab, c, n, last, sure, answers``: the ends of the distinct answers and the counts of their trigrams.
-
-    ``v`` is 1 for the end before a last paragraph that no other text of the case goes on with (a remark, perhaps). An answer's own places
-    are taken off the counts.
-    """
-    last_words = lambda w: f"slice({w}, greatest(size({w}) - {BACK + 2}, 1), {BACK + 3})"
-    end = lambda c: f"reverse(regexp_extract({_whole(c)}, r'{LAST % (BACK + 3)}', 0))"
-    tails = spark.sql(rf"""
-        with a as (select ckey, text, xxhash64(text) as eid, {end('text')} as t, case when text rlike r'\n\s*\n' then regexp_extract(text, r'(?s)^(.*\S)\s*\n\s*\n', 1) else '' end as s from _cut_texts where answer),
-        b as (select *, case when s <> '' then {end('s')} end as t1, case when s <> '' then substr(text, length(s) + 1) end as p from a),
-        c as (select *, {_words('t')} as w0, {_words('t1')} as w1, {_words('p')} as wp from b)
-        select ckey, xxhash64(ckey) as kh, eid, {last_words('w0')} as w, {last_words('w1')} as w1, get(wp, 0) as p,
-          reverse(text) rlike r'{STOPPED}' as stopped, case when s <> '' then reverse(s) rlike r'{STOPPED}' else false end as stopped1 from c""")
-    tails = written(tails, "tails")
-    tails.createOrReplaceTempView("_cut_tails")
-    spark.sql(f"""
-        with e as (select ckey, kh, eid, explode_outer(array(struct(0 as v, w), struct(1 as v, w1 as w), struct(2 as v, array(get(w1, size(w1) - 2), get(w1, size(w1) - 1), p) as w))) as e from _cut_tails),
-        g as (select ckey, kh, eid, e.v, e.w from e where size(e.w) >= 3),
-        asked as (select ckey, eid, kh, v, {_gram('0')} from g)
-        select a.ckey, a.eid, map_from_entries(collect_list(struct(a.v, struct(x.n, x.last, x.sure)))) as m from asked a join _cut_counts x on a.kh = x.kh and a.ab = x.ab and a.c = x.c group by a.ckey, a.eid""").createOrReplaceTempView("_cut_exact")
-    spark.sql("select ckey, count(*) as answers from _cut_tails group by ckey").createOrReplaceTempView("_cut_sizes")
-    return spark.sql(f"""
-        with j as (select t.*, s.answers, e.m from _cut_tails t join _cut_sizes s on t.ckey = s.ckey left join _cut_exact e on t.ckey = e.ckey and t.eid = e.eid),
-        v as (select *, explode(if(t_new and size(w1) >= 2, array(0, 1), array(0))) as v from (select *, p is not null and coalesce(try_element_at(m, 2).n, 0) <= 1 and coalesce(try_element_at(m, 0).sure, 0) = 0 as t_new from j)),
-        x as (select ckey, kh, eid, v, if(v = 0, w, w1) as w, if(v = 0, stopped, stopped1) as stopped, try_element_at(m, v) as x, answers from v)
-        select ckey, kh, eid, v, w, stopped, {_gram('0')}, greatest(coalesce(x.n, 0) - 1, 0) as n, greatest(coalesce(x.last, 0) - if(v = 0, 1, 0), 0) as last, coalesce(x.sure, 0) as sure, answers from x""")
+def told(spark: SparkSession) -> DataFrame:
+    """The counts of the asked trigrams: of each case, and (``kh`` null) of the corpus. The texts are read once for both."""
+    counted(spark).createOrReplaceTempView("_cut_counts")
+    of_corpus = written(spark.sql("select distinct ab from _cut_asked where v = 0 and k <= 1 and not stopped"), "asked")
+    sized_broadcast(of_corpus, of_corpus.count(), 1_000_000).createOrReplaceTempView("_cut_asked_ab")
+    return spark.sql("""
+        select kh, ab, c, n, last, near from _cut_counts left semi join (select distinct kh, ab from _cut_asked where ckey <> '') using (kh, ab)
+        union all select null as kh, ab, c, sum(n) as n, sum(last) as last, 0 as near from _cut_counts left semi join _cut_asked_ab using (ab) group by ab, c""")
 
 
 def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """``ckey, eid, cut`` and the counts that decided it, of each distinct answer to a case (``eid`` is its text's hash)."""
+    """``ckey, eid, cut`` of each distinct answer to a case whose end isn't one of the case's own texts' (``eid`` is its text's hash)."""
     spark = views(results, cases)
-    written(counted(spark), "trigrams").createOrReplaceTempView("_cut_counts")
-    written(ends(spark), "ends").createOrReplaceTempView("_cut_ends")
-    spark.sql("select * from _cut_ends where ckey <> '' and n <= 0 and last <= 0").createOrReplaceTempView("_cut_unknown")
-    # longer words that begin like the end's last one; each counted word gives its beginnings, so that both sides meet by equality
+    written(tails(spark), "tails").createOrReplaceTempView("_cut_tails")
+    spark.sql("select ckey, count(*) as answers from _cut_texts where answer group by ckey").createOrReplaceTempView("_cut_sizes")
+    asked(spark)
+    written(told(spark), "told").createOrReplaceTempView("_cut_told")
+    # longer words that begin like an end's last one; each counted word gives its beginnings, so that both sides meet by equality
     spark.sql("""
-        with asked as (select distinct kh, ab from _cut_ends where ckey <> '' and sure = 0 and ab is not null),
-        longer as (select kh, ab, n, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from _cut_counts left semi join asked using (kh, ab) where length(c) > 1),
-        pieces as (select kh, ab, c, sum(n) as n from longer group by kh, ab, c)
-        select u.ckey, u.eid, u.v, p.n as piece from _cut_ends u join pieces p on u.kh = p.kh and u.ab = p.ab and u.c = p.c where u.ckey <> '' and u.sure = 0""").createOrReplaceTempView("_cut_pieces")
-    spark.sql(f"""
-        with asked as (select ckey, eid, v, kh, k, {_gram('k')} from (select *, explode(sequence(1, {BACK})) as k from (select ckey, eid, v, kh, w from _cut_unknown)) where size(w) >= k + 3)
-        select a.ckey, a.eid, a.v, min_by(struct(a.k, n.n - 1 as n, greatest(n.near - 1, 0) as near), a.k) as b from asked a join _cut_counts n on a.kh = n.kh and a.ab = n.ab and a.c = n.c where n.n > 1 group by a.ckey, a.eid, a.v""").createOrReplaceTempView("_cut_backs")
-    # frequent inside the texts of the case, and hardly ever their end
-    runs_on = f"{{0}} >= {FREQUENT} * f.answers"
-    own = written(spark.sql(f"""
-        with e as (select f.ckey, f.eid, f.v, f.w, f.ab, f.c, f.stopped, f.n, f.last, f.sure, f.answers, coalesce(p.piece, 0) as piece, b.b.k as back, b.b.n as back_n, b.b.near as back_near,
-          case when f.ckey = '' then null when f.sure > 0 then false when {runs_on.format('f.n - f.last')} and f.last <= {RARELY_LAST} * f.n then true
-            when {runs_on.format('p.piece')} and f.n <= {RARELY_LAST} * p.piece and not f.stopped then true
-            when f.n > 0 then if(f.last > 0 and f.v = 0, false, null) when {runs_on.format('b.b.n')} and not f.stopped then b.b.near <= {RARELY_LAST} * b.b.n end as cut
-          from _cut_ends f left join _cut_pieces p on f.ckey = p.ckey and f.eid = p.eid and f.v = p.v left join _cut_backs b on f.ckey = b.ckey and f.eid = b.eid and f.v = b.v)
-        select ckey, eid, max_by(struct(v, w, ab, c, stopped, n, last, sure, answers, piece, back, back_n, back_near, cut), struct(coalesce(cut, false), -v)) as e, bool_or(cut) as cut from e group by ckey, eid"""), "own-case")
-    own.selectExpr("ckey", "eid", "e.*").createOrReplaceTempView("_cut_own")
-    spark.sql(f"select ckey, eid, ab, c, k from (select ckey, eid, k, {_gram('k')} from (select *, explode(array(0, 1)) as k from (select ckey, eid, w from _cut_own where v = 0 and cut is null and not stopped))) where ab is not null and c is not null").createOrReplaceTempView("_cut_asked")
-    asked = written(spark.sql("select distinct ab from _cut_asked"), "asked")
-    sized_broadcast(asked, asked.count(), 1_000_000).createOrReplaceTempView("_cut_asked_ab")
-    written(spark.sql("select ab, c, sum(n) as n, sum(last) as last from _cut_counts left semi join _cut_asked_ab using (ab) group by ab, c"), "corpus").createOrReplaceTempView("_cut_corpus")
+        with longer as (select kh, ab, n, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from _cut_told where length(c) > 1)
+        select kh, ab, c, sum(n) as n from longer group by kh, ab, c""").createOrReplaceTempView("_cut_pieces")
+    spark.sql("""
+        select a.kh, a.eid, map_from_entries(collect_list(struct(a.v * 10 + a.k, struct(x.n, x.last, x.near)))) as m from _cut_asked a join _cut_told x on a.kh = x.kh and a.ab = x.ab and a.c = x.c where a.ckey <> '' group by a.kh, a.eid""").createOrReplaceTempView("_cut_own")
+    spark.sql("""
+        select a.kh, a.eid, max(if(a.v = 0, p.n, null)) as piece, max(if(a.v = 1, p.n, null)) as piece1 from _cut_asked a join _cut_pieces p on a.kh = p.kh and a.ab = p.ab and a.c = p.c where a.ckey <> '' and a.k = 0 and a.v < 2 group by a.kh, a.eid""").createOrReplaceTempView("_cut_own_pieces")
+    spark.sql("""
+        select a.kh, a.eid, max(if(a.k = 0, x.n - 1, null)) as n0, max(if(a.k = 0, x.last - 1, null)) as l0, max(if(a.k = 1, x.n - 1, null)) as n1, max(if(a.k = 1, x.last, null)) as l1, max(if(a.k = 0, p.n, null)) as corpus_piece
+        from _cut_asked a left join _cut_told x on x.kh is null and a.ab = x.ab and a.c = x.c left join _cut_pieces p on p.kh is null and a.ab = p.ab and a.c = p.c
+        where a.v = 0 and a.k <= 1 and not a.stopped group by a.kh, a.eid""").createOrReplaceTempView("_cut_all")
+
+    def rule(v: int, stopped: str, piece: str) -> str:
+        """Whether the end ``v`` is cut by the counts of its own case: null where it doesn't know; an answer's own place is taken off."""
+        at = lambda k: f"try_element_at(m, {10 * v + k})"
+        n, last = f"(coalesce({at(0)}.n, 0) - 1)", f"greatest(coalesce({at(0)}.last, 0) - {1 - v}, 0)"
+        many = lambda c: f"{c} >= {FREQUENT} * answers"
+        back = f"coalesce({', '.join(f'if({at(k)}.n > 1, {at(k)}, null)' for k in range(1, BACK + 1))})"
+        return f"""case when {many(f'({n} - {last})')} and {last} <= {RARELY_LAST} * {n} then true
+            when {many(piece)} and {n} <= {RARELY_LAST} * {piece} and not {stopped} then true
+            when {n} > 0 then {f'if({last} > 0, false, null)' if v == 0 else 'null'}
+            when {many(f'({back}.n - 1)')} and not {stopped} then {back}.near - 1 <= {RARELY_LAST} * ({back}.n - 1) end"""
+
+    new = "size(w1) >= 2 and p is not null and coalesce(try_element_at(m, 20).n, 0) <= 1"
     return spark.sql(f"""
-        with longer as (select ab, n, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from _cut_corpus where length(c) > 1),
-        pieces as (select ab, c, sum(n) as n from longer group by ab, c),
-        told as (select a.ckey, a.eid, max(if(k = 0, x.n - 1, null)) as n0, max(if(k = 0, x.last - 1, null)) as l0, max(if(k = 1, x.n - 1, null)) as n1, max(if(k = 1, x.last, null)) as l1, max(if(k = 0, p.n, null)) as piece
-          from _cut_asked a left join _cut_corpus x on a.ab = x.ab and a.c = x.c left join pieces p on a.ab = p.ab and a.c = p.c group by a.ckey, a.eid)
-        select o.*  except (w, ab, c, cut), t.n0, t.l0, t.piece as corpus_piece, o.cut is null as by_corpus,
-          coalesce(o.cut, {_rarely('coalesce(t.l0, 0)', 'coalesce(t.n0, 0)')} or coalesce(t.n0, 0) <= 0 and (t.piece > 0 or {_rarely('coalesce(t.l1, 0)', 'coalesce(t.n1, 0)')}), false) as cut
-        from _cut_own o left join told t on o.ckey = t.ckey and o.eid = t.eid""")
+        with j as (select t.ckey, t.eid, t.w1, t.p, t.stopped, t.stopped1, s.answers, coalesce(o.m, map()) as m, coalesce(i.piece, 0) as piece, coalesce(i.piece1, 0) as piece1, c.n0, c.l0, c.n1, c.l1, c.corpus_piece
+          from _cut_tails t join _cut_sizes s on t.ckey = s.ckey left join _cut_own o on t.kh = o.kh and t.eid = o.eid left join _cut_own_pieces i on t.kh = i.kh and t.eid = i.eid left join _cut_all c on t.kh = c.kh and t.eid = c.eid),
+        r as (select *, if(ckey = '', null, {rule(0, 'stopped', 'piece')}) as cut0, if(ckey <> '' and {new}, {rule(1, 'stopped1', 'piece1')}, null) as cut1 from j)
+        select ckey, eid, coalesce(cut0, false) or coalesce(cut1, false) or (coalesce(cut0, cut1) is null and not stopped
+          and ({_rarely('coalesce(l0, 0)', 'coalesce(n0, 0)')} or coalesce(n0, 0) <= 0 and (coalesce(corpus_piece, 0) > 0 or {_rarely('coalesce(l1, 0)', 'coalesce(n1, 0)')}))) as cut from r""")
 
 
 def found(results: DataFrame, cases: DataFrame) -> DataFrame:
