@@ -131,32 +131,61 @@ def test_whole_thai_answers_end_without_a_mark(spark):
 
 
 def test_pair_defects(spark):
-    case = spark.createDataFrame([("s:1:clean:x", ART, None, None, "Fix this text:", "s")], CASES)
+    case = spark.createDataFrame([(f"s:{k}:clean:x", ART + f" Case {k}.", None, None, "Fix this text:", "s") for k in range(6)], CASES)
     answers = {
-        1: REF, 2: None, 3: "```\n```", 4: "Here is the revised version:\n\n", 5: "I'm sorry, but I cannot help with this request.", 6: "> " + ART.upper(), 7: "Fix this text:",
-        8: "Le comité a traduit le guide avant la réunion. La relectrice a vérifié le tableau avec beaucoup de soin.", 9: REF[:100], 10: "I am sorry, I cannot check facts, but here is the text:\n\n" + REF,
+        1: REF, 2: None, 3: "```\n```" + " " * 300, 4: "Here is the revised version:\n\n", 5: "I'm sorry, but I cannot help with this request.", 6: "> " + ART.upper() + " CASE 1.", 7: "Fix this text:",
+        8: FRENCH, 9: REF[:100], 10: REF + "\n\nI hope this helps!",
     }
-    more = [(100 + i, "s:1:clean:x", a) for i, a in enumerate(["I cannot edit this.", "Sorry, I am unable to do that.", "I must decline.", "Unfortunately I can't help."] * 6 + [REF, ART, REF + " "] * 10)]
-    res = spark.createDataFrame([(k, "s:1:clean:x", v) for k, v in answers.items()] + more, "seq long, case_id string, response string")
-    got = {r.seq: r.defect for r in pairs.found(res, case).where("seq < 100").collect()}
-    assert got == {2: "empty", 3: "empty", 4: "empty", 5: "refusal", 6: "copy", 7: "copy", 8: "language", 9: "truncated"}
+    more = ["I cannot edit this.", "Sorry, I am unable to do that.", "I must decline.", "I'm sorry, but I can't help.", FRENCH, ART + " Case {}.", REF[:70], "Fix this text:", *EDITED]
+    rows = [(100 + 20 * k + i, f"s:{k}:clean:x", a.format(k)) for k in range(6) for i, a in enumerate(more)]
+    res = spark.createDataFrame([(k, "s:1:clean:x", v) for k, v in answers.items()] + rows + [(900, None, None), (901, "gone", "")], "seq long, case_id string, response string")
+    got = {r.seq: r.defect for r in pairs.found(res, case).where("seq < 100 or seq >= 900").collect()}
+    assert got == {2: "empty", 3: "empty", 4: "empty", 5: "refusal", 6: "copy", 7: "copy", 8: "language", 9: "truncated", 900: "empty", 901: "empty"}
+    assert pairs.found(res.limit(0), case).count() == 0
+
+
+REFUSALS = [f"{a} {b}" for a in ("Sorry,", "Unfortunately,", "I apologize;") for b in ("I cannot do this.", "I am unable to assist.", "I must decline.", "I can't help here.")]
+EDITED = [REF, REF + " Done.", REF.replace("weekly", "whole"), REF.replace("floor ", ""), REF.replace("distinct", "simple"), REF.replace("notes", "slips")]
+FRENCH = "Le comité a traduit le guide avant la réunion. La relectrice a vérifié le tableau avec beaucoup de soin."
+
+
+def tagger(refusals=REFUSALS):
+    rows = [(r, f"{ART} Case {i * 4 // len(refusals)}.", "Fix:", False) for i, r in enumerate(refusals)]
+    for i in range(4):
+        rows += [(x, f"{ART} Case {i}.", "Fix:", False) for x in (*EDITED, f"{ART} Case {i}.", FRENCH)] + [(REF[:60], f"{ART} Case {i}.", "Fix:", True)]
+    return pairs.fit(rows)
+
+
+def test_labels_come_from_agreement():
+    p = pairs.Prompt(ART, "Fix:")
+    answers = [*EDITED, "I cannot do this.", FRENCH, ART, REF[:60]]
+    got = pairs.labels(p, [p.cut(a) for a in answers], [a == REF[:60] for a in answers])
+    assert [set(x) for x in got[-4:-1]] == [{pairs.R}, {pairs.N}, {pairs.E}] and got[-1][-1] == pairs.U and all(set(x) == {pairs.A} for x in got[:5])
+
+
+def test_tags_decide_every_defect_but_empty():
+    t, p = tagger(), pairs.Prompt(ART, "Fix:")
+    rows = {"refusal": "Sorry, I am unable to do this.", "copy": "> " + ART.upper(), "language": FRENCH, "unfinished": REF[:60]}
+    assert pairs.defects([(x, ART, "Fix:") for x in rows.values()], t) == list(rows)
+    for want, x in rows.items():
+        cs = p.cut(x)
+        assert pairs.decide(p, cs, [pairs.A] * len(cs)) is None, want
+    assert pairs.defects([("```", ART, "Fix:"), (None, None, None), ("", ART, None), ("x", None, None)], t)[:3] == ["empty"] * 3
 
 
 def test_quoted_artifact_beside_an_edited_version_is_no_copy():
-    refusals = [f"{a} {b}" for a in ("Sorry,", "Unfortunately,") for b in ("I cannot do this.", "I am unable to assist.")]
-    tagger = pairs.fit([(r, ART, "Fix:") for r in refusals] + [(REF, ART, "Fix:"), (ART, ART, "Fix:"), ("> " + ART, ART, "Fix:")] * 8)
-    around = "Fix: The text is below.\nCall the dentist on Monday please."
-    assert pairs.defect(ART + "\n\n" + REF, ART, "Fix:", tagger) is None
-    assert pairs.defect(ART, ART, "Fix:", tagger) == pairs.defect(ART + "\n" + ART.upper(), ART, "Fix:", tagger) == "copy"
-    assert pairs.defect("Fix: The text is below.\n" + ART + "\nCall the dentist on Monday please.", ART, "Fix:", tagger, around) == "copy"
+    got = pairs.defects([(x, ART, "Fix:") for x in (ART + "\n\n" + REF, ART, ART + "\n" + ART.upper(), "Fix:\n" + ART + "\nCall the dentist.")], tagger())
+    assert got[0] != "copy" and got[1:] == ["copy"] * 3
 
 
 def test_tagger_learns_held_out_rows():
-    refusals = [f"{a} {b}" for a in ("Sorry,", "Unfortunately,", "I apologize;") for b in ("I cannot do this.", "I am unable to assist.", "I must decline.", "I can't help here.")]
-    rows = [(r, ART, "Fix:") for r in refusals] + [(REF, ART, "Fix:"), (REF + " Done.", ART, "Fix:")] * 8
-    tagger = pairs.fit(rows)
-    assert pairs.defect("Sorry, I won't be able to rewrite that.", ART, "Fix:", tagger) == "refusal"
-    assert pairs.defect(REF, ART, "Fix:", tagger) is None
+    assert pairs.defects([("Sorry, I must decline to help here.", ART, "Fix:"), (REF, ART, "Fix:"), (EDITED[3], ART, "Fix:")], tagger(REFUSALS[1:])) == ["refusal", None, None]
+
+
+def test_tagging_in_batches_equals_single_rows_and_long_texts():
+    t = tagger()
+    rows = [(x, ART, "Fix:") for x in (*REFUSALS, *EDITED, FRENCH, "", "```", REF * 500, "a" * 100_000)]
+    assert pairs.defects(rows, t) == [pairs.defects([r], t)[0] for r in rows]
 
 
 @pytest.mark.parametrize(("text", "units"), [

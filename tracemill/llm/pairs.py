@@ -1,28 +1,32 @@
 r"""Defects of prompt and answer pairs, by clauses tagged with a conditional random field.
 
 An answer is cut into clauses at end marks and line breaks. A linear-chain conditional random field
-tags each as answer, refusal, echo, foreign or unfinished from features of the clause (its words,
-its language against the wanted one, how much of it the artifact holds, whether it stands verbatim
-in the artifact or the instruction, its end, its place). It is fitted with stochastic gradients on a
-bounded sample of answers (``SAMPLE``, by hash) whose labels come from the pair itself: verbatim
-clauses of answers that hold the whole artifact are echoes, clauses in another language than the
-wanted one foreign, ends that the artifact carries on unfinished, short answers that share nothing
-with the artifact and hold words of declining refusals, others answers. All rows are tagged.
-
-A pair's defect is the first that holds: ``empty`` (no clause is left without blanks, wrappers,
-opening lines and placeholders), ``refusal`` (refusing clauses cover what isn't a remark), ``copy``
-(echoes cover what isn't a remark or another part of the message, and the whole artifact is there
-unedited; or, by an exact check without tags, nothing but the instruction is), ``language``
-(foreign clauses cover most), ``truncated`` (see ``truncation``; the tag unfinished keeps open ends
-out of the others and decides nothing).
+tags each as answer, refusal, echo, foreign or unfinished from features of the clause: its words, its
+language against the wanted one, how much of it the artifact holds and where, whether it stands
+verbatim in the artifact or the instruction, its end, its place, and what the others of the answer are.
+
+It is fitted with stochastic gradients on all answers to a bounded number of cases (``SAMPLE``, by hash;
+one documented bound, whatever the size of the tables). The labels don't come from those features but
+from how the answers to one case agree: an answer that shares next to nothing with the others is a
+refusal if it is short beside them and foreign if not; clauses of an answer that gives the artifact
+back where the others changed it are echoes; the last clause of an answer whose end its case's texts run
+on from (``truncation``) is unfinished; all else is answer. All rows are tagged, in batches.
+
+A pair's defect is the first that holds: ``empty`` (no clause is left without blanks, wrappers, opening
+lines and placeholders), ``refusal`` (refusing clauses cover what isn't a remark), ``copy`` (echoes cover
+it; then, as an exact check, the whole artifact or the instruction must be there), ``language`` (foreign
+clauses cover most; then, as an exact check, another language must show in them), ``truncated`` (a clause
+is unfinished; then, as an exact check, ``truncation`` must say so too).
 
 Edge cases: a null answer is empty. An answer to an unknown case can be empty, a refusal or
 truncated. A null artifact or instruction takes part in no comparison. Code has no language. Equal
-answers to one case are tagged once. Whole answers are read. An empty table gives an empty result.
+answers to one prompt are tagged once. Whole answers are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re as plain
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -37,28 +41,27 @@ from tracemill.functions.spelling import squeezed
 from tracemill.llm import truncation
 from tracemill.session import written
 
-#: Answers that the tagger is fitted on, steps taken (as many at every size), their length, and the places of its features.
-SAMPLE, STEPS, STEP, PLACES = 2000, 8000, 0.15, 1 << 13
+#: Answers that the tagger is fitted on (all those to some cases), steps taken (as many at every size), their length, places of features.
+SAMPLE, STEPS, STEP, PLACES = 6000, 12000, 0.15, 1 << 13
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 A, R, E, N, U = range(5)
-#: Least part of an answer that must be refusing or foreign.
-REFUSES, FOREIGN = 0.6, 0.6
-#: Least part that must be an echo; an answer that holds an edited version beside the quoted artifact has less.
-COPIES = 0.8
-
-CLAUSE = re.compile(r"(?<=[.!?…][\"”’»)]*)\s+|(?<=[。！？।؟])(?=[^”」』）])|\s*[\r\n]+\s*")
+#: Least part of an answer that must be refusing, an echo, or foreign.
+REFUSES, COPIES, FOREIGN = 0.6, 0.6, 0.6
+#: Share of an answer's word pairs that others know, below which it stands alone; its length beside theirs below which it is short, above which long.
+ALONE, SHORT, LONG = 0.25, 0.35, 0.6
+#: Weight against ``answer`` at an answer's end: an exact check of unfinished ends follows, so doubt counts for them.
+LEAN = 3.0
+
+#: Ends of clauses: an end mark (and a closing quote) before a blank, a full-width mark, a line break.
+CLAUSE = plain.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”’»)])\s+|(?<=[。！？।؟])(?=[^”」』）])|\s*[\r\n]+\s*")
 #: What doesn't count as an edit: layout, quoting and emphasis.
 LAYOUT = re.compile(r"[\s\p{Z}\p{Cf}\"'“”„‘’«»`>*~|]+")
 INVISIBLE = re.compile(r"[\s\p{Z}\p{Cc}\p{Cf}\p{Mn}]+")
 WRAPPER = re.compile(r"```[\w+-]*|~~~|</?[\p{L}][^<>]{0,60}>|[\"“”'‘’`*_#>{}\[\]()|-]")
-#: Placeholders for an answer, and words by which answers decline (fixed lists).
+#: Placeholders for an answer, opening lines and remarks (fixed lists).
 PLACEHOLDER = re.compile(r"(?:null|none|nil|n/?a|undefined|nan|empty|no (?:content|answer|response|output)|tbd|todo|placeholder|\.+|…+)?[.!…]*", re.I)
 OPENING = re.compile(r"(?:(?:sure|certainly|of course|okay|ok|absolutely|gladly|claro|gerne|natürlich|bien sûr|voici|hier ist|aquí)\b[^\n:.!]{0,40}[:.!]?|(?:here(?: is|['’]s)|below is|this is|revised|edited|corrected|updated|final|the (?:revised|edited|corrected))\b[^\n:]{0,60}:|[^\n:.]{0,40}\bhere (?:is|are)\b[^\n:.]{0,40}[:.])", re.I)
 REMARK = re.compile(r"(?:i hope|let me know|feel free|is there anything|please (?:tell|let)|happy to|i (?:fixed|changed|made|corrected|shortened|kept)|you asked)\b", re.I)
-DECLINING = re.compile(
-    r"\b(?:can['’]?t|cannot|can not|unable|won['’]t|not able|decline|declin\w+|must pass|rather not|not comfortable|guidelines|not allowed|outside what|not something i|refuse|apologi[sz]e|sorry|unfortunately)\b"
-    r"|\b(?:no puedo|no me es posible|me es imposible|lo siento|lamento|debo rechazar|prefiero no)\b|\b(?:leider|kann ich|darf ich|ablehnen|nicht (?:bearbeiten|helfen|möglich)|tut mir leid)\b"
-    r"|\b(?:je ne peux|ne puis|désolée?|je regrette|je préfère ne pas|refuser|m['’]est impossible|impossible de)\b|不能|无法|抱歉|できません|申し訳|не могу|к сожалению|извините|δεν μπορώ|λυπάμαι|لا أستطيع|عذرا|नहीं कर|क्षमा|ไม่สามารถ|ขออภัย", re.I)
 #: Frequent short words by which languages in Latin script are told apart (fixed lists).
 COMMON = {
     "en": "the and of to in was is were that with for because it on as this by not a if until since although before are be from under have",
@@ -97,69 +100,96 @@ def language(s: str) -> str:
     return best[0][0] if len(best) == 1 or best[0][1] > best[1][1] else ""
 
 
-@lru_cache(200_000)
-def words_of(clause: str) -> tuple[tuple[int, ...], str, bool, bool]:
-    """Places of the clause's words, its language, whether it declines and whether it is a remark."""
-    ws = WORDS.findall(clause.lower())
-    return tuple({64 + crc32(w.encode()) % (PLACES - 64) for w in ws[:40]}), language(clause), bool(DECLINING.search(clause)), bool(REMARK.match(clause) or OPENING.fullmatch(clause))
-
-
-@lru_cache(4_000)
-def prompt(artifact: str | None, instruction: str | None) -> tuple:
-    """What a prompt says: bare artifact and instruction, its words, wanted language, whether it is code."""
-    artifact, instruction = artifact or "", instruction or ""
-    low = instruction.lower()
-    code = bool(re.search(r"(?m)^\s*(?:def |class |return\b|import |for .*:$)|[;{}]\s*$", artifact))
-    named = next((v for k, v in NAMED.items() if re.search(rf"\b(?:into|in|to|a|an|auf|ins|en|al?|au)\s+{k}\b|\b{k}\s+version\b", low)), "")
-    ws = WORDS.findall(artifact.lower())
-    return bare(artifact), bare(instruction), frozenset(zip(ws, ws[1:], strict=False)), named or language(re.sub(r"[“«„「][^”»“」]*[”»“」]", " ", artifact)), code
+@lru_cache(100_000)
+def word_place(w: str) -> int:
+    """The place of a word's feature."""
+    return 64 + crc32(w.encode()) % (PLACES - 64)
 
 
 def bare(s: str) -> str:
     return LAYOUT.sub("", s).lower()
 
 
-class Pair:
-    """A prompt and an answer: clauses and their features."""
-
-    __slots__ = ("art", "ask", "clauses", "code", "feats", "lens", "marks", "text", "want")
-
-    def __init__(self, answer: str, artifact: str | None, instruction: str | None) -> None:
-        self.art, self.ask, pairs, self.want, self.code = prompt(artifact, instruction)
-        self.text = bare(answer)
-        self.clauses = [c for c in CLAUSE.split(answer) if c and not INVISIBLE.fullmatch(c)]
-        self.lens = [len(c) for c in self.clauses]
-        self.feats, self.marks = [], []
-        n = len(self.clauses)
-        whole = len(self.art) > 20 and self.art in self.text
-        for i, c in enumerate(self.clauses):
-            hashed, lang, declines, remark = words_of(c)
-            b = bare(c)
-            verbatim = len(b) > 3 and b in self.art
-            asked = len(b) > 3 and b in self.ask
-            if verbatim:
-                share = 3
-            else:
-                ws = WORDS.findall(c.lower())
-                k = sum(p in pairs for p in zip(ws, ws[1:], strict=False))
-                share = 0 if not k else 1 if 2 * k < len(ws) else 2
-            foreign = bool(lang and self.want and lang != self.want and not self.code)
-            open_ = c[-1].isalnum() or c[-1] in ",-"
-            last = i == n - 1
-            on = last and verbatim and not self.art.endswith(b) and open_
-            f = [0, 1 + share, 6 + foreign, 8 + declines, 10 + remark, 12 + last, 14 + (i == 0), 16 + open_, 18 + (last and open_), 20 + asked, 22 + on, 24 + (declines and not share), 26 + (declines and share > 1), 28 + min(n, 5), 40 + (1 + verbatim if whole else 0)]
-            self.feats.append(np.array([*f, *hashed] if share < 2 else f))
-            self.marks.append((verbatim, asked, share, foreign, declines, remark, open_, on))
-
-
-def label(p: Pair) -> list[int]:
-    """Labels of a sample answer's clauses, from the pair itself."""
-    whole = len(p.art) > 20 and p.art in p.text
-    alone = len(p.clauses) <= 5 and not any(m[2] >= 2 for m in p.marks) and any(m[4] for m in p.marks)
-    out = []
-    for verbatim, asked, share, foreign, declines, remark, _, on in p.marks:
-        out.append(E if (whole and verbatim) or asked else R if alone and (declines or not remark) and share < 2 else U if on else N if foreign and share < 2 else A)
-    return out
+def hollow(s: str) -> bool:
+    """Nothing but blanks, invisible signs, wrappers, an opening line or a placeholder."""
+    s = INVISIBLE.sub(" ", WRAPPER.sub(" ", s)).strip()
+    return not s or bool(PLACEHOLDER.fullmatch(s) or OPENING.fullmatch(s))
+
+
+class Clause:
+    """What one clause is beside its prompt, whatever answer it stands in; ``static`` are its features."""
+
+    __slots__ = ("asked", "bare", "foreign", "hollow", "last", "open", "pairs", "remark", "share", "size", "static", "verbatim", "weight")
+
+    def __init__(self, text: str, prompt: Prompt) -> None:
+        self.size, self.bare = len(text), bare(text)
+        self.hollow = hollow(text)
+        self.remark = bool(REMARK.match(text) or OPENING.fullmatch(text))
+        self.verbatim = len(self.bare) > 3 and self.bare in prompt.art
+        self.asked = len(self.bare) > 3 and (self.bare in prompt.ask or len(prompt.ask) > 10 and prompt.ask in self.bare and len(self.bare) < 2 * len(prompt.ask))
+        ws = WORDS.findall(text.lower())
+        self.pairs = list(zip(ws, ws[1:], strict=False)) or [(w, "") for w in ws]
+        at = [prompt.pairs[p] for p in self.pairs if p in prompt.pairs]
+        self.share = 3 if self.verbatim else 0 if not at else 1 if 2 * len(at) < len(self.pairs) else 2
+        lang = language(text)
+        self.foreign = bool(lang and prompt.want and lang != prompt.want and not prompt.code)
+        self.open = text[-1].isalnum() or text[-1] in ",-"
+        self.last = bool(at) and max(at) >= prompt.words - 3 or self.verbatim and prompt.art.endswith(self.bare)
+        f = [0, 1 + self.share, 6 + self.foreign, 8 + self.remark, 10 + self.open, 12 + self.asked, 14 + self.last]
+        # the words of a clause that the artifact holds say nothing of the answer
+        self.static = np.array([*f, *{word_place(w) for w in ws}] if self.share < 2 else f)
+        self.weight: np.ndarray | None = None
+
+
+class Prompt:
+    """An artifact and an instruction, and the clauses seen in answers to them."""
+
+    def __init__(self, artifact: str | None, instruction: str | None) -> None:
+        artifact, instruction = artifact or "", instruction or ""
+        low = instruction.lower()
+        self.code = bool(re.search(r"(?m)^\s*(?:def |class |return\b|import |for .*:$)|[;{}]\s*$", artifact))
+        named = next((v for k, v in NAMED.items() if re.search(rf"\b(?:into|in|to|a|an|auf|ins|en|al?|au)\s+{k}\b|\b{k}\s+version\b", low)), "")
+        ws = WORDS.findall(artifact.lower())
+        self.pairs = {p: i for i, p in enumerate(zip(ws, ws[1:], strict=False))}
+        self.words = len(ws)
+        self.art, self.ask = bare(artifact), bare(instruction)
+        self.want = named or language(re.sub(r"[“«„「][^”»“」]*[”»“」]", " ", artifact))
+        self.clauses: dict[str, Clause] = {}
+
+    def cut(self, answer: str) -> list[Clause]:
+        """The clauses of an answer; those with nothing visible are left out."""
+        out = []
+        for c in CLAUSE.split(answer):
+            k = self.clauses.get(c)
+            if k is None:
+                if not c or INVISIBLE.fullmatch(c):
+                    continue
+                k = self.clauses[c] = Clause(c, self)
+            out.append(k)
+        return out
+
+
+def places(p: Prompt, clauses: list[Clause]) -> list[int]:
+    """A number for each clause that stands for its place and the rest of its answer (see ``place_features``)."""
+    n = len(clauses)
+    text = "".join(c.bare for c in clauses)
+    whole = len(p.art) > 20 and p.art in text
+    told = sum(len(c.bare) for c in clauses if c.verbatim)
+    part = 3 * told // max(1, len(text))  # 0 to 3
+    new = all(c.share < 2 for c in clauses)
+    rest = [i for i, c in enumerate(clauses) if not (c.remark or c.hollow)]
+    end = rest[-1] if rest else n - 1
+    return [((((min(n, 5) * 4 + part) * 2 + whole) * 2 + new) * 2 + (i == 0)) * 8 + ((i == end) * (1 + c.open + 2 * c.last)) + 0 for i, c in enumerate(clauses)]
+
+
+def place_features(code: int) -> list[int]:
+    """Features of the number of ``places``: of the end, the first place, novelty, the whole artifact, verbatim part, length."""
+    end, rest = code % 8, code // 8
+    first, rest = rest % 2, rest // 2
+    new, rest = rest % 2, rest // 2
+    whole, rest = rest % 2, rest // 2
+    part, n = rest % 4, rest // 4
+    return [16 + end, 24 + first, 26 + new, 28 + whole, 30 + part, 34 + n, 40 + (end if part > 0 else 7), 48 + 4 * whole + part]
 
 
 class Tagger:
@@ -168,13 +198,11 @@ class Tagger:
     def __init__(self, weights: np.ndarray | None = None, moves: np.ndarray | None = None) -> None:
         self.w = np.zeros((PLACES, 5)) if weights is None else weights
         self.t = np.zeros((5, 5)) if moves is None else moves
-
-    def emit(self, feats: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.w[f].sum(0) for f in feats])
+        self.of_place: dict[int, np.ndarray] = {}
 
     def step(self, feats: list[np.ndarray], gold: list[int], rate: float) -> None:
         """One gradient step on the log-likelihood, by forward and backward sums."""
-        e = self.emit(feats)
+        e = np.array([self.w[f].sum(0) for f in feats])
         n = len(e)
         fwd, bwd = np.zeros((n, 5)), np.zeros((n, 5))
         fwd[0] = e[0]
@@ -198,102 +226,179 @@ class Tagger:
             self.t -= rate * 0.2 * q
             self.t[gold[i - 1], gold[i]] += rate * 0.2
 
-    def tag(self, feats: list[np.ndarray]) -> list[int]:
-        """The likeliest tags."""
-        e = self.emit(feats)
-        best, back = e[0], []
-        for row in e[1:]:
-            m = best[:, None] + self.t
-            k = m.argmax(0)
-            back.append(k)
-            best = m[k, range(5)] + row
-        out = [int(best.argmax())]
-        for k in reversed(back):
-            out.append(int(k[out[-1]]))
-        return out[::-1]
-
-
-def fit(rows: list[tuple[str, str | None, str | None]]) -> Tagger:
-    """Fit the tagger on (answer, artifact, instruction) rows; their order doesn't matter."""
-    pairs = [p for p in (Pair(*r) for r in sorted(rows, key=lambda r: crc32(r[0].encode()))) if p.clauses]
-    labelled = [(p.feats[:12] + p.feats[-4:] if len(p.feats) > 16 else p.feats, (g := label(p))[:12] + g[-4:] if len(p.feats) > 16 else label(p)) for p in pairs]
-    tagger = Tagger()
-    for k in range(STEPS if labelled else 0):
-        tagger.step(*labelled[k % len(labelled)], STEP / (1 + k // 2000))
-    return tagger
-
-
-def is_empty(answer: str) -> bool:
-    """Nothing but blanks, invisible signs, wrappers, opening lines, remarks and placeholders."""
-    left = []
-    for line in WRAPPER.sub(" ", answer).splitlines():
-        line = INVISIBLE.sub(" ", line).strip()
-        if line and not PLACEHOLDER.fullmatch(line) and not OPENING.fullmatch(line):
-            left.append(line)
-    return not left or len(left) <= 2 and all(REMARK.match(x) for x in left)
+    def emission(self, c: Clause, code: int) -> np.ndarray:
+        if c.weight is None:
+            c.weight = self.w[c.static].sum(0)
+        k = self.of_place.get(code)
+        if k is None:
+            k = self.of_place[code] = self.w[place_features(code)].sum(0) + (-LEAN * (np.arange(5) == A) if code % 8 else 0)
+        return c.weight + k
+
+    def tag(self, answers: list[tuple[Prompt, list[Clause]]]) -> list[list[int]]:
+        """The likeliest tags of many answers at once."""
+        lens = np.array([len(c) for _, c in answers], np.int64)
+        if not lens.sum():
+            return [[] for _ in answers]
+        flat = np.array([self.emission(c, k) for p, cs in answers if cs for c, k in zip(cs, places(p, cs), strict=True)])
+        starts = np.cumsum(lens) - lens
+        order = np.argsort(-lens, kind="stable")  # longest first, so that the running ones are always a prefix
+        lens_, starts_ = lens[order], starts[order]
+        live = int((lens_ > 0).sum())
+        best = flat[starts_[:live]].copy()
+        back = []
+        for i in range(1, int(lens_[0])):
+            live = int((lens_ > i).sum())
+            m = best[:live, :, None] + self.t
+            back.append(m.argmax(1))
+            best[:live] = m.max(1) + flat[starts_[:live] + i]
+        last = best.argmax(1)
+        out: list[list[int]] = [[] for _ in answers]
+        for j in range(len(best)):
+            t = int(last[j])
+            tags = [t]
+            for i in range(int(lens_[j]) - 2, -1, -1):
+                t = int(back[i][j, t])
+                tags.append(t)
+            out[order[j]] = tags[::-1]
+        return out
+
+
+def labels(p: Prompt, answers: list[list[Clause]], cut: list[bool]) -> list[list[int] | None]:
+    """Labels of the clauses of all answers to one prompt, by how they agree; none for empty ones."""
+    m = len(answers)
+    same = Counter(b for cs in answers for b in {c.bare for c in cs})
+    known = Counter(x for cs in answers for x in {x for c in cs for x in c.pairs})
+    least = 1 + max(1, 0.15 * (m - 1))
+    parts = []
+    for cs in answers:
+        pairs = [x for c in cs if not c.remark for x in c.pairs]
+        parts.append(sum(known[x] > least for x in pairs) / len(pairs) if pairs else 1.0)
+    size = lambda cs: sum(len(c.bare) for c in cs if not c.remark)
+    agreed = sum(k >= ALONE for k in parts) * 2 >= m
+    normal = [(size(cs), len(cs)) for cs, k in zip(answers, parts, strict=True) if k >= 0.5 or not agreed] or [(0, 0)]
+    usual, number = (float(np.median(x)) for x in zip(*normal, strict=True))
+    out: list[list[int] | None] = []
+    for cs, part, is_cut in zip(answers, parts, cut, strict=True):
+        told = [c for c in cs if not (c.remark or c.hollow)]
+        changed = any(c.verbatim and same[c.bare] - 1 <= 0.5 * (m - 1) for c in told)
+        back = changed and sum(len(c.bare) for c in told if c.verbatim or c.asked) >= 0.8 * sum(len(c.bare) for c in told)
+        if all(c.hollow for c in cs):
+            out.append(None)
+        elif part < ALONE and not back:
+            # where hardly any answers agree (translations), standing alone shows nothing
+            # scripts differ in the letters they need, so the number of clauses counts too
+            short, long = size(cs) < SHORT * usual and len(told) <= max(1.0, 0.5 * number), size(cs) >= LONG * usual or len(told) >= LONG * number
+            tag = R if short else (N if agreed else A) if long else None
+            out.append(None if tag is None else [E if c.asked else tag for c in cs])
+        else:
+            tags = [E if c.asked or back and c.verbatim else A for c in cs]
+            if is_cut and told:
+                tags[max(i for i, c in enumerate(cs) if c is told[-1])] = U
+            out.append(tags)
+    return out
 
 
-def echoed(p: Pair, tags: list[int], around: str | None) -> float:
-    """Part of the answer that echoes of the artifact take, without remarks and what the message has ``around`` it."""
-    said = bare(around or "")
-    echo = rest = 0
-    for tag, c, m in zip(tags, p.clauses, p.marks, strict=True):
-        b = bare(c)
-        if m[5] and tag in (A, U) or m[1] or not m[0] and b in said:
-            continue
-        rest += len(b)
-        echo += len(b) * (tag == E)
-    # clauses that an edited version leaves as they are echo nothing more than the quoted artifact
-    return min(echo, p.text.count(p.art) * len(p.art)) / rest if rest else 0.0
+def fit(rows: list[tuple[str, str | None, str | None, bool]]) -> Tagger:
+    """Fit the tagger on (answer, artifact, instruction, whether cut) rows; their order doesn't matter."""
+    groups: dict[tuple, dict[str, bool]] = {}
+    for answer, art, ask, cut in sorted(rows, key=lambda r: (crc32(r[0].encode()), r[0], r[1] or "", r[2] or "")):
+        groups.setdefault((art, ask), {})[answer] = cut
+    plain_, special = [], []
+    for (art, ask), answers in sorted(groups.items(), key=str):
+        p = Prompt(art, ask)
+        cs = [p.cut(a) for a in answers]
+        for c, tags in zip(cs, labels(p, cs, list(answers.values())), strict=True):
+            if c and tags:
+                feats = [np.array([*k.static, *place_features(n)]) for k, n in zip(c, places(p, c), strict=True)]
+                (plain_ if set(tags) == {A} and not all(k.share < 2 for k in c) else special).append((feats, tags))
+    # as many unremarkable answers as others, so that steps aren't spent on them; translations are remarkable
+    step = max(1, len(plain_) // max(1, len(special)))
+    data = special + plain_[::step]
+    data = [data[i] for i in np.random.default_rng(7).permutation(len(data))]
+    tagger = Tagger()
+    for k in range(STEPS if data else 0):
+        tagger.step(*data[k % len(data)], STEP / (1 + k // 3000))
+    return tagger
 
 
-def defect(answer: str | None, artifact: str | None, instruction: str | None, tagger: Tagger, around: str | None = None) -> str | None:
-    """The defect of one pair, but for ``truncated``; ``around`` is the message without the artifact."""
-    if answer is None or len(answer) < 200 and is_empty(answer) and bare(answer) != bare(instruction or ""):
-        return "empty"
-    p = Pair(answer, artifact, instruction)
-    if not p.clauses:
+def decide(p: Prompt, clauses: list[Clause], tags: list[int]) -> str | None:
+    """The defect that the coverage of an answer's tagged clauses shows; ``unfinished`` stands for what may be truncated."""
+    left = [c for c in clauses if not c.hollow]
+    if all(c.remark for c in left) and len(left) <= 2 and not any(c.asked for c in clauses):
         return "empty"
-    tags = tagger.tag(p.feats)
-    part = [0] * 5
-    rest = 0
-    for tag, n, m in zip(tags, p.lens, p.marks, strict=True):
-        if m[5] and tag in (A, U):
-            continue  # remarks are no part of the answer
-        part[tag] += n
-        rest += n
-    kept = sum(n for tag, n, m in zip(tags, p.lens, p.marks, strict=True) if tag != R and m[2] >= 2)
+    part, rest, kept, echo, other, abroad = [0] * 5, 0, 0, 0, 0, 0
+    for tag, c in zip(tags, clauses, strict=True):
+        if c.hollow and not c.asked or c.remark and tag in (A, U):
+            continue  # remarks and wrappers are no part of the answer
+        part[tag] += c.size
+        rest += c.size
+        kept += c.size * (tag != R and c.share >= 2)
+        abroad += c.size * (tag == N and c.foreign)
+        if not c.asked:
+            other += len(c.bare)
+            echo += len(c.bare) * (tag == E)
+    text = "".join(c.bare for c in clauses)
     if rest and part[R] >= REFUSES * rest and kept < 0.2 * rest:
         return "refusal"
-    if len(p.art) > 20 and p.art in p.text and echoed(p, tags, around) >= COPIES:
+    # clauses that an edited version leaves as they are echo nothing more than the quoted artifact
+    if len(p.art) > 20 and other and min(echo, text.count(p.art) * len(p.art)) >= COPIES * other:
         return "copy"
-    if p.ask and not any(m[2] >= 2 and not m[1] for m in p.marks) and p.ask in p.text and len(p.text) < len(p.ask) + 120:
+    if p.ask and part[E] >= COPIES * rest and p.ask in text:
         return "copy"
-    if rest and part[N] >= FOREIGN * rest and not p.code:
+    if rest and part[N] >= FOREIGN * rest and 2 * abroad >= part[N]:
         return "language"
-    return None
+    return "unfinished" if U in tags else None
+
+
+def defects(rows: list[tuple[str | None, str | None, str | None]], tagger: Tagger, prompts: dict | None = None) -> list[str | None]:
+    """The defects of (answer, artifact, instruction) rows. Rows of one prompt should follow one another: its clauses are kept only so long."""
+    out: list[str | None] = [None] * len(rows)
+    todo: list[tuple[int, Prompt, list[Clause]]] = []
+    key, p = None, None
+    for i, (answer, art, ask) in enumerate(rows):
+        if answer is None:
+            out[i] = "empty"
+            continue
+        if p is None or key != (art, ask):
+            key, p = (art, ask), Prompt(art, ask)
+        todo.append((i, p, p.cut(answer)))
+    for (i, p, cs), tags in zip(todo, tagger.tag([(p, cs) for _, p, cs in todo]), strict=True):
+        out[i] = decide(p, cs, tags)
+    return out
 
 
 def found(results: DataFrame, cases: DataFrame) -> DataFrame:
     """``seq, defect`` of the defective rows of results."""
     spark = results.sparkSession
-    rows = results.select("seq", squeezed(F.col("case_id")).alias("case_key"), "response")
-    around = F.expr("replace(message, artifact, '\n')") if "message" in cases.columns else F.lit(None).cast("string")
-    case = cases.where("id is not null").select(squeezed(F.col("id")).alias("case_key"), "artifact", "task_instruction", around.alias("around")).dropDuplicates(["case_key"])
-    pairs = rows.groupBy("case_key", "response").agg(F.collect_list("seq").alias("seqs")).join(case, "case_key", "left")
-    pairs = written(pairs.select("seqs", "response", "artifact", "task_instruction", "around"), "pairs")
-    sample = pairs.where("response is not null and artifact is not null").orderBy(F.xxhash64("response", "artifact")).limit(SAMPLE)
-    tagger = fit([tuple(r) for r in sample.select("response", "artifact", "task_instruction").collect()])
-    shared = spark.sparkContext.broadcast((tagger.w, tagger.t))
+    cut = written(truncation.judged(results, cases).where("cut").select("ckey", "eid"), "cut")
+    case = cases.where("id is not null").select(squeezed(F.col("id")).alias("case_key"), "artifact", "task_instruction").dropDuplicates(["case_key"])
+    prompt = case.withColumn("pk", F.xxhash64(F.coalesce("artifact", F.lit("\0")), F.coalesce("task_instruction", F.lit("\0"))))
+    prompt = written(prompt, "prompts")
+    key = F.expr(f"coalesce({truncation.cluster('case_key')}, '')").alias("ckey")
+    rows = results.select("seq", squeezed(F.col("case_id")).alias("case_key"), "response").join(prompt.select("case_key", "pk"), "case_key", "left").select("seq", "pk", key, "response")
+    eid = F.when(F.col("response").isNotNull(), F.xxhash64("response")).otherwise(0)
+    # answers to one prompt lie together, and each is tagged once
+    texts = rows.groupBy("pk", "response").agg(F.min("ckey").alias("ckey"))
+    prompts = prompt.groupBy("pk").agg(F.first("artifact").alias("artifact"), F.first("task_instruction").alias("task_instruction"))
+    spread = F.coalesce("pk", F.xxhash64("response")).alias("_j")  # answers without a prompt don't meet in one task
+    pairs = written(texts.select("*", spread).join(prompts.withColumnRenamed("pk", "_j").hint("merge"), "_j", "left").select("pk", "ckey", eid.alias("eid"), "response", "artifact", "task_instruction"), "pairs")
+    sizes = pairs.where("pk is not null and response is not null").groupBy("pk").agg(F.count("*").alias("n")).where(f"n <= {SAMPLE // 4}")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    near = sizes.where(F.expr(f"pmod(xxhash64(pk, 'fit'), 1000000) < {int(1_000_000 * min(1.0, SAMPLE / max(1, total)))}")).select("pk")
+    sample = pairs.join(near, "pk", "left_semi").where("response is not null").join(cut.withColumn("cut", F.lit(True)), ["ckey", "eid"], "left")
+    tagger = fit([(r[0], r[1], r[2], bool(r[3])) for r in sample.select("response", "artifact", "task_instruction", "cut").limit(2 * SAMPLE).collect()])
+    shared = spark.sparkContext.broadcast((tagger.w.astype(np.float32), tagger.t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tagger(*shared.value)
         for b in batches:
-            answers, arts, asks, arounds = (b.column(k).to_pylist() for k in (1, 2, 3, 4))
-            out = [defect(x, a, i, t, m) for x, a, i, m in zip(answers, arts, asks, arounds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["seqs", "defect"])
-
-    own = pairs.mapInArrow(run, "seqs array<long>, defect string").where("defect is not null").select(F.explode("seqs").alias("seq"), "defect")
-    cut = truncation.found(results, cases).select("seq", F.lit("truncated").alias("defect"))
-    rank = F.when(F.col("defect") == "truncated", 1).otherwise(0)
-    return own.unionByName(cut).groupBy("seq").agg(F.min_by("defect", rank).alias("defect"))
+            got = defects(list(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)), t)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string())], ["pk", "eid", "defect"])
+
+    told = pairs.select("pk", "eid", "response", "artifact", "task_instruction").mapInArrow(run, "pk long, eid long, defect string").where("defect is not null")
+    # a null key is a prompt of its own: no artifact and no instruction
+    none = F.coalesce("pk", F.lit(0)).alias("pk")
+    told = written(told.select(none, "eid", "defect"), "told")
+    placed = rows.select("seq", none, "ckey", eid.alias("eid")).join(told, ["pk", "eid"])
+    checked = placed.join(cut.withColumn("cut", F.lit(True)), ["ckey", "eid"], "left")
+    return checked.where("defect <> 'unfinished' or cut").select("seq", F.when(F.col("defect") == "unfinished", "truncated").otherwise(F.col("defect")).alias("defect"))
