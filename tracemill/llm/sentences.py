@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 SENT_AT_ONCE = 200_000
 #: Longest word that can be an abbreviation, and the share of its stops that may end paragraphs.
 ABBREVIATION, SELDOM_LAST = 7, 0.02
-#: Stops after which a word that never ended a paragraph is an abbreviation even if it is also written without.
-SURELY = 30
+#: Upper bound of the share of its stops that end paragraphs, below which a word is an abbreviation even if it is also written without.
+SURELY = 0.113
 #: Part of a wrapped text's width within which the next word clearly would have fitted.
 SLACK = 0.75
 #: Share of a word's occurrences that must be beginnings for it to be one.
@@ -50,14 +50,27 @@ HEADING = re.compile(r"#{1,6}\s")
 ITEM = re.compile(r"[ \t]*(?:[-*+•‣]|\(?\d{1,3}[.)])[ \t]+\S")
 CODE = re.compile(r"(?:def |class |import |from \w+ import|return\b|for \w+ in |if .*:$|while .*:$|#include|function |const |let |var )")
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
+#: A stop after which a sentence clearly goes on.
+GOES_ON = re.compile(r"[\p{L}\p{M}\d]\.[\s\p{Z}”»」』）)\]’\"'】》›“]*[\p{Ll}\d,;:]")
+GREEK, GREEK_WORD, THAI = re.compile(r"\p{Greek}"), re.compile(r"\p{Greek}[^;;]{0,3}$"), re.compile(r"\p{Thai}")
+CAPITAL = re.compile(r"[“„«\"]?\p{Lu}(?:\p{Ll}|['’. ]|\s)")
+ADDRESS = re.compile(r"[/@\\]\S*$")
+THAI_END = re.compile(r"(?<=[\p{Thai}])\s+(?=\p{Lu}\p{Ll})|(?<=[\p{Thai}])\s*[\r\n]\s*(?=\p{L})")
+GRAPH = re.compile(r"\S+")
+BREAK = re.compile(r"[ \t]*(?:\r\n|\r|\n)[ \t]*")
+INNER = re.compile(r"(?<=[\p{Ll}\p{N}],? )\p{L}")
 INVISIBLE = re.compile(r"[\s\p{Z}\p{Cc}\p{Cf}]*")
 #: Opening marks with their closing ones; the plain double mark is both.
 PAIRS = {"“": "”“", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‘": "’", "【": "】", "《": "》", "‹": "›"}
 CLOSING = "”»」』）)]’\"'】》›“"
+BRACKET = re.compile(r"[“”„«»「」『』（）()\[\]‘’\"【】《》‹›]")
 WIDE = "。！？｡"
 MARK = re.compile(r"[.!?…。！？｡।॥؟;;]+")
 WORD = re.compile(r"(?:\p{L}[\p{L}\p{M}]*[.’'-])*[\p{L}\p{M}]+$|\d+$")
 NEXT = re.compile(r"[\p{L}\p{M}]+|\d+")
+TOKEN = re.compile(r"\p{L}[\p{L}\p{M}.’'-]*")
+#: A word written with a capital inside a line, after a word in small letters or a comma: no place where a sentence could begin.
+NAME = re.compile(r"(?<=[\p{Ll}\p{M}],? )\p{Lu}[\p{L}\p{M}]+")
 CJK = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 THAI_GAP = re.compile(r"(?<=[\p{Thai}])(?:[ \t ]+|\s*[\r\n]\s*)(?=[\p{Thai}])")
 SPACE = " \t\r\n  　  "
@@ -111,9 +124,11 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
 
 def spans(p: str) -> list[tuple[int, int]]:
     """Quotations and brackets of a paragraph: positions of their opening and closing marks."""
+    if not BRACKET.search(p):
+        return []
     out, stack = [], []
     plain = None
-    for m in re.finditer(r"[“”„«»「」『』（）()\[\]‘’\"【】《》‹›]", p):
+    for m in BRACKET.finditer(p):
         c, i = m[0], m.start()
         if c == '"':
             if plain is None:
@@ -140,17 +155,21 @@ def width(text: str) -> int:
     return longest if 0 < longest <= 120 else 0
 
 
-class Clues:
-    """What is known of words: ``stops`` word -> [stops, last, small or digit next], ``alone`` word ->
-    times without a stop, ``begins`` word -> [beginnings, all]."""
-
-    def __init__(self) -> None:
-        self.stops: dict[str, list[int]] = {}
-        self.alone: dict[str, int] = {}
-        self.begins: dict[str, list[int]] = {}
-
-
 def before(p: str, i: int) -> str:
+    """The word that ends right before position i; # for a short number, ## for a long one."""
+    c = p[i - 1 : i]
+    if c.isascii():
+        if not c.isalnum():
+            return ""
+        j, lo = i - 1, max(0, i - 24)
+        if c.isdigit():
+            while j > lo and p[j - 1].isdigit():
+                j -= 1
+            return "#" if i - j < 3 else "##"
+        while j > lo and p[j - 1].isascii() and p[j - 1].isalpha():
+            j -= 1
+        if j == lo or p[j - 1] in " \n(\"\t":
+            return p[j:i]
     m = WORD.search(p, max(0, i - 24), i)
     return "" if m is None else m[0] if not m[0].isdigit() else "#" if len(m[0]) < 3 else "##"
 
@@ -165,53 +184,60 @@ def opening(p: str, j: int) -> str:
     return m[0] if m else ""
 
 
-def evidence(text: str) -> Iterator[tuple[str, int, int, int]]:
-    """Rows ``word, a, b, c``: words keyed ``s:`` (stops, last, small next), ``w:`` (alone), ``b:`` (beginnings, all)."""
-    for a, b, kind in blocks(text):
+def evidence(text: str) -> dict[str, list[int]]:
+    """``word -> a, b, c``: words keyed ``s:`` (stops, last, small next), ``w:`` (alone), ``b:`` (beginnings, all)."""
+    out: dict[str, list[int]] = {}
+
+    def add(w: str, a: int, b: int, c: int) -> None:
+        x = out.get(w)
+        if x is None:
+            out[w] = [a, b, c]
+        else:
+            x[0] += a
+            x[1] += b
+            x[2] += c
+
+    for start, end, kind in blocks(text):
         if kind != "prose":
             continue
-        p = text[a:b].strip()
+        p = text[start:end].strip()
+        n = len(p)
         starts = [0]
-        inside = spans(p)
-        hidden = [False] * (len(p) + 1)
-        for x, y in inside:
-            hidden[x:y] = [True] * (y - x)
-        stopped = set()
+        hidden = bytearray(n + 1)
+        for x, y in spans(p):
+            hidden[x:y] = b"\x01" * (y - x)
         for m in MARK.finditer(p):
-            i, j = m.start(), m.end()
-            wide = p[i] in WIDE
-            if wide and not hidden[i] and j < len(p) and p[j] not in CLOSING:
+            i, j, mark = m.start(), m.end(), m[0]
+            if p[i] in WIDE and not hidden[i] and j < n and p[j] not in CLOSING:
                 starts.append(j)
-            if m[0] != ".":
-                if j < len(p) and p[j] in SPACE and not hidden[i] and "…" not in m[0] and ".." not in m[0] and p[i] in "!?।؟":
+            if mark != ".":
+                if j < n and p[j] in SPACE and not hidden[i] and "…" not in mark and ".." not in mark and p[i] in "!?।؟":
                     starts.append(j)
                 continue
             w = before(p, i).lower()
-            if not w or j < len(p) and p[j] not in SPACE and p[j] not in CLOSING and p[j] not in ",;:":
+            if not w or j < n and p[j] not in SPACE and p[j] not in CLOSING and p[j] not in ",;:":
                 continue
-            stopped.add(i)
             k = j
-            while k < len(p) and (p[k] in SPACE or p[k] in CLOSING):
+            while k < n and (p[k] in SPACE or p[k] in CLOSING):
                 k += 1
-            small = k < len(p) and (p[k].islower() or p[k].isdigit() or p[k] in ",;:")
-            yield "s:" + w, 1, int(k >= len(p)), int(small)
-            if not hidden[i] and k < len(p) and p[k].isupper() and len(w) > ABBREVIATION:
+            small = k < n and (p[k].islower() or p[k].isdigit() or p[k] in ",;:")
+            add("s:" + w, 1, int(k >= n), int(small))
+            if not hidden[i] and k < n and p[k].isupper() and len(w) > ABBREVIATION:
                 starts.append(j)
-        if CJK.search(p):
-            for s in starts:
-                if w := opening(p, s):
-                    yield "b:" + w, 1, 1, 0
-        begin = Counter(opening(p, s) for s in starts)
-        for w, n in begin.items():
-            if w and not CJK.match(w):
-                yield "b:" + w.lower(), n, 0, 0
-        for m in re.finditer(r"\p{L}[\p{L}\p{M}.’'-]*", p):
-            w = m[0].rstrip("’'-").lower()
-            if w.endswith(".") or CJK.match(w):
+        cjk = CJK.search(p) is not None
+        for w, times in Counter(opening(p, s) for s in starts).items():
+            if w and CJK.match(w):
+                add("b:" + w, times, times, 0)
+            elif w:
+                add("b:" + w.lower(), times, 0, 0)
+        for w, times in Counter(TOKEN.findall(p.lower())).items():
+            w = w.rstrip("’'-")
+            if w[-1:] == "." or cjk and CJK.match(w):
                 continue
-            yield "b:" + w.split("’")[0].split("'")[0], 0, 1, 0
-            if m.end() not in stopped and len(w) <= ABBREVIATION:
-                yield "w:" + w, 1, 0, 0
+            add("b:" + w.split("’")[0].split("'")[0], 0, times, 0)
+            if len(w) <= ABBREVIATION:
+                add("w:" + w, times, 0, 0)
+    return out
 
 
 def lookups(text: str) -> set[str]:
@@ -243,11 +269,14 @@ def gathered(texts: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             sums: dict[str, list[int]] = {}
             for t in batch.column(0).to_pylist():
-                for w, a, b, c in evidence(t or ""):
-                    s = sums.setdefault(w, [0, 0, 0])
-                    s[0] += a
-                    s[1] += b
-                    s[2] += c
+                for w, (a, b, c) in evidence(t).items() if t else ():
+                    s = sums.get(w)
+                    if s is None:
+                        sums[w] = [a, b, c]
+                    else:
+                        s[0] += a
+                        s[1] += b
+                        s[2] += c
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([s[k] for s in sums.values()], pa.int64()) for k in range(3))], ["word", "a", "b", "c"])
 
@@ -266,7 +295,9 @@ def decided(sums: DataFrame) -> DataFrame:
     followed = F.expr(f"length(w) <= {ABBREVIATION} and small >= 0.5 * stops")
     dotted = F.expr("w like '%.%'")
     ends = F.expr(f"last >= {SELDOM_LAST} * stops")
-    never = F.expr(f"length(w) <= {ABBREVIATION} and stops >= {SURELY} and last <= 0.25 * {SELDOM_LAST} * stops and w not in ('#', '##')")
+    # Wilson's upper bound of the share of stops that end a paragraph
+    high = F.expr("(last / stops + 1.9208 / stops + 1.96 * sqrt(last / stops * (1 - last / stops) / stops + 0.9604 / (stops * stops))) / (1 + 3.8416 / stops)")
+    never = F.expr(f"length(w) <= {ABBREVIATION} and w not in ('#', '##')") & (high <= SURELY)
     verdict = F.when(never, 2).when((rare_alone & (followed | ~ends)) | (followed & F.expr("stops >= 3")) | dotted, F.when(ends, 1).otherwise(2))
     a = s.withColumn("verdict", verdict).where("verdict is not null and (stops >= 2 or w like '%.%')").selectExpr("concat('s:', w) as word", "verdict")
     b = sums.where(f"word like 'b:%' and a >= 2 and a >= {BEGINNING} * b").selectExpr("word", "1 as verdict")
@@ -280,10 +311,9 @@ def sentences(text: str | None, known: dict[str, int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     wide = width(text)
     lower = not any(c.isupper() for c in text[:2000]) and not any(c.isupper() for c in text)
-    # where all is written small, a small letter after a stop shows nothing
-    own, common = (set(), set()) if lower else own_clues(text)
+    own = Own(text, lower)
     for a, b, kind in blocks(text):
-        cuts = [b] if kind != "prose" else [*(a + c for c in cut_points(text[a:b], known, wide, lower, own, common)), b]
+        cuts = [b] if kind != "prose" else [*(a + c for c in cut_points(text[a:b], known, wide, lower, own)), b]
         start = a
         for c in cuts:
             x, y = start, c
@@ -297,27 +327,63 @@ def sentences(text: str | None, known: dict[str, int]) -> list[tuple[int, int]]:
     return out
 
 
-def own_clues(text: str) -> tuple[set[str], set[str]]:
-    """Of the document's own: abbreviations, and words that are also written small, so that a capital makes no name of them.
+class Own:
+    """What a document shows of its own words, from their unambiguous places in all its paragraphs.
 
-    Abbreviations are words that the document itself shows to be abbreviations: a small letter, digit or comma after a stop, never a
-    paragraph's end and never without the stop; of more than 4 letters only if shown twice.
+    ``short``: abbreviations (a small letter, digit or comma follows their stop, they end no paragraph and never stand without
+    it; of more than 4 letters only if shown twice). ``small``: words also written small, so that a capital makes no name of
+    them. ``names``: words with a capital where no sentence can begin, and never small.
     """
-    stops: dict[str, list[int]] = {}
-    alone = set()
-    for w, a, b, c in evidence(text):
-        if w.startswith("s:"):
-            x = stops.setdefault(w[2:], [0, 0, 0])
-            x[0] += a
-            x[1] += b
-            x[2] += c
-        elif w.startswith("w:"):
-            alone.add(w[2:])
-    own = {w for w, (n, last, small) in stops.items() if w not in alone and w not in ("#", "##") and len(w) <= ABBREVIATION and not last and small >= (1 if len(w) <= 4 else 2) and 2 * small >= n}
-    return own, {w for w in NEXT.findall(text) if w.islower()} if own else set()
 
-
-def cut_points(p: str, known: dict[str, int], wide: int, lower: bool, own: set[str], common: set[str]) -> list[int]:
+    __slots__ = ("_capitals", "names", "short", "small", "text")
+
+    def __init__(self, text: str, lower: bool) -> None:
+        self.text, self._capitals = text, None
+        self.short: set[str] = set()
+        self.small: set[str] = set()
+        self.names: set[str] = set()
+        # where all is written small, a small letter after a stop shows nothing
+        if lower or not GOES_ON.search(text):
+            return
+        cases = text.lower()
+        if len(cases) != len(text):  # offsets would differ
+            cases = text
+        shown = {before(text, m.start() + 1).lower() for m in GOES_ON.finditer(text)} - {"", "#", "##"}
+        words: set[str] | None = None
+        for w in shown:
+            if len(w) > ABBREVIATION:
+                continue
+            words = words or set(TOKEN.findall(cases))
+            if w in words:  # it stands without a stop too
+                continue
+            stops = small = 0
+            at = cases.find(w + ".")
+            while at >= 0:
+                k = at + len(w) + 1
+                if not (at and cases[at - 1].isalnum()) and (k >= len(text) or text[k] in SPACE or text[k] in CLOSING or text[k] in ",;:"):
+                    start = k
+                    while k < len(text) and (text[k] in SPACE or text[k] in CLOSING):
+                        k += 1
+                    if k >= len(text) or text.count("\n", start, k) > 1 or text.count("\r", start, k) > 1:
+                        small = -len(text)  # it ends a paragraph
+                    stops += 1
+                    small += k < len(text) and (text[k].islower() or text[k].isdigit() or text[k] in ",;:")
+                at = cases.find(w + ".", at + 1)
+            if small >= (1 if len(w) <= 4 else 2) and 2 * small >= stops:
+                self.short.add(w)
+        if self.short:
+            self.small = {w for w in NEXT.findall(text) if w.islower()}
+            self.names = {w for w in NAME.findall(text) if w.lower() not in self.small}
+
+    def capitals(self) -> bool:
+        """Whether the document writes nouns with capitals: many of its words inside sentences have one. Numbers with a stop are ordinals there."""
+        if self._capitals is None:
+            inside = INNER.findall(self.text)
+            self._capitals = sum(c.isupper() for c in inside) >= 0.2 * len(inside) > 0
+        return self._capitals
+
+
+def cut_points(p: str, known: dict[str, int], wide: int, lower: bool, own: Own) -> list[int]:
     cuts: list[int] = []
     inside = spans(p)
     hidden = bytearray(len(p) + 1)
@@ -325,14 +391,15 @@ def cut_points(p: str, known: dict[str, int], wide: int, lower: bool, own: set[s
     for x, y in inside:
         hidden[x:y] = b"\x01" * (y - x)
         closes[y] = x
-    greek = re.search(r"\p{Greek}", p) is not None
+    plain = p.isascii()
+    greek = not plain and GREEK.search(p) is not None
     n = len(p)
     for m in MARK.finditer(p):
         i, j = m.start(), m.end()
         if j < n and p[j] == "‍":
             continue
         mark = m[0]
-        if mark[0] in ";;" and not (greek and re.search(r"\p{Greek}[^;;]{0,3}$", p[:i]) and len(mark) == 1):
+        if mark[0] in ";;" and not (greek and GREEK_WORD.search(p, max(0, i - 8), i) and len(mark) == 1):
             continue
         k = j
         while k < n and p[k] in CLOSING and (k in closes or p[k] in "”»」』）)]’\"" and not hidden[k]):
@@ -395,25 +462,25 @@ def cut_points(p: str, known: dict[str, int], wide: int, lower: bool, own: set[s
         # a full stop
         w = before(p, i)
         if not spaced:
-            if CJK.match(p, gap) or not (nxt.isupper() or nxt in "“„«\"" and opening(p, gap)[:1].isupper()) or not re.match(r"[“„«\"]?\p{Lu}(?:\p{Ll}|['’. ]|\s)", p[gap : gap + 3]) or len(w) < 2 and not quoted:
+            if CJK.match(p, gap) or not (nxt.isupper() or nxt in "“„«\"" and opening(p, gap)[:1].isupper()) or not CAPITAL.match(p, gap, gap + 3) or len(w) < 2 and not quoted:
                 continue
             if "." in w and not begins and not quoted:
                 continue
-            if re.search(r"[/@\\]\S*$", p[max(0, i - 60) : i]):
+            if ADDRESS.search(p, max(0, i - 60), i):
                 continue
         if w in ("#", "##"):
             if nxt.isdigit() or nxt.islower() and not lower:
                 continue
-            if w == "#" and not begins and (nxt.isupper() or nxt.islower()) and not quoted and ordinal(p):
+            if w == "#" and not begins and (nxt.isupper() or nxt.islower()) and not quoted and own.capitals():
                 continue
-            if i and re.search(r"(?:^|[\n])\s*\d+$", p[:i]):
+            if p[1 + max(p.rfind("\n", 0, i), p.rfind("\r", 0, i)) : i].strip().isdigit():
                 continue
             cuts.append(k)
             continue
         low = w.lower()
         verdict = known.get("s:" + low, 0)
-        if verdict == 0 and low in own:  # it may end a sentence only before a beginning, not before a name
-            verdict = 1 if fresh and (begins or word[:1].isupper() and word.lower() in common) else 2
+        if verdict == 0 and low in own.short:  # it may end a sentence only before a beginning, not before a name
+            verdict = 1 if fresh and word not in own.names and (begins or word[:1].isupper() and word.lower() in own.small) else 2
         initial = len(w) == 1 and w.isupper() or len(w) == 1 and not w.islower() and w.isalpha()
         if verdict == 0 and initial:
             verdict = 2
@@ -433,20 +500,20 @@ def cut_points(p: str, known: dict[str, int], wide: int, lower: bool, own: set[s
         if nxt.islower() and not lower and "." in w:
             continue
         cuts.append(k)
-    if re.search(r"\p{Thai}", p):
+    if not plain and THAI.search(p):
         for m in THAI_GAP.finditer(p):
             if not hidden[m.start()]:
                 cuts.append(m.start())
-        for m in re.finditer(r"(?<=[\p{Thai}])\s+(?=\p{Lu}\p{Ll})|(?<=[\p{Thai}])\s*[\r\n]\s*(?=\p{L})", p):
+        for m in THAI_END.finditer(p):
             cuts.append(m.start())
     # line breaks that no line width explains
     if "\n" in p or "\r" in p:
-        for m in re.finditer(r"[ \t]*(?:\r\n|\r|\n)[ \t]*", p.rstrip()):
+        for m in BREAK.finditer(p.rstrip()):
             i, j = m.start(), m.end()
             if j >= n or i == 0 or hidden[i]:
                 continue
-            last = re.split(r"[\r\n]", p[:i])[-1]
-            rest = re.match(r"\S+", p[j:])
+            last = p[1 + max(p.rfind("\n", 0, i), p.rfind("\r", 0, i)) : i]
+            rest = GRAPH.match(p, j)
             if rest is None or p[i - 1] in ",;،、-–(":
                 continue
             fits = not wide or len(last) + 1 + len(rest[0]) <= SLACK * wide
@@ -461,11 +528,6 @@ def _around(inside: list[tuple[int, int]], i: int) -> list[tuple[int, int]]:
     return [(x, y) for x, y in inside if x < i < y]
 
 
-def ordinal(p: str) -> bool:
-    """Numbers with a stop before a capital are ordinals where nouns are written with capitals."""
-    return re.search(r"\b(?:der|die|das|und|hat|im|am|vom)\b", p) is not None
-
-
 def split(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, sent_start, sent_end`` of every sentence of every row of ``df``."""
     spark = df.sparkSession

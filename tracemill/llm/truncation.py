@@ -141,13 +141,14 @@ def counted(spark: SparkSession) -> DataFrame:
 
 
 def told(spark: SparkSession) -> DataFrame:
-    """The counts of the asked trigrams: of each case, and (``kh`` null) of the corpus. The texts are read once for both."""
+    """The counts ``kh, ab, c, n, last, near`` of the trigrams asked for in their case (``own``), or of the corpus (``everywhere``)."""
     counted(spark).createOrReplaceTempView("_cut_counts")
-    of_corpus = written(spark.sql("select distinct ab from _cut_asked where v = 0 and k <= 1 and not stopped"), "asked")
+    of_corpus = written(spark.sql("select distinct ab, true as everywhere from _cut_asked where v = 0 and k <= 1 and not stopped"), "asked")
     sized_broadcast(of_corpus, of_corpus.count(), 1_000_000).createOrReplaceTempView("_cut_asked_ab")
+    # outer joins, as inner ones would be pushed below the count, which would then be made for each of them
     return spark.sql("""
-        select kh, ab, c, n, last, near from _cut_counts left semi join (select distinct kh, ab from _cut_asked where ckey <> '') using (kh, ab)
-        union all select null as kh, ab, c, sum(n) as n, sum(last) as last, 0 as near from _cut_counts left semi join _cut_asked_ab using (ab) group by ab, c""")
+        select c.*, o.own, e.everywhere from _cut_counts c left join (select distinct kh, ab, true as own from _cut_asked where ckey <> '') o on c.kh = o.kh and c.ab = o.ab left join _cut_asked_ab e on c.ab = e.ab
+        where o.own is not null or e.everywhere is not null""")
 
 
 def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
@@ -156,7 +157,10 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
     written(tails(spark), "tails").createOrReplaceTempView("_cut_tails")
     spark.sql("select ckey, count(*) as answers from _cut_texts where answer group by ckey").createOrReplaceTempView("_cut_sizes")
     asked(spark)
-    written(told(spark), "told").createOrReplaceTempView("_cut_told")
+    written(told(spark), "counts").createOrReplaceTempView("_cut_kept")
+    spark.sql("""
+        select kh, ab, c, n, last, near from _cut_kept where own
+        union all select null as kh, ab, c, sum(n) as n, sum(last) as last, 0 as near from _cut_kept where everywhere group by ab, c""").createOrReplaceTempView("_cut_told")
     # longer words that begin like an end's last one; each counted word gives its beginnings, so that both sides meet by equality
     spark.sql("""
         with longer as (select kh, ab, n, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as c from _cut_told where length(c) > 1)
