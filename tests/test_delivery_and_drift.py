@@ -73,7 +73,7 @@ def test_changes(spark):
     b = ['{"model":"m","params":{"temp":0.2},"seed":"42"}', '{"model":"m","params":{"temp":0.7},"seed":"42"}', '{"model":"m","params":{"temp":0.7},"seed":"42"}']
     c = ['{"model":"m","params":{"temp":0.2},"note":"hello there"}']
     raw = spark.createDataFrame(lines(a, b, c) + lines(a)[:1], RAW)
-    got = {tuple(r) for r in drift.changes(*drift.headers(raw)).collect()}
+    got = {tuple(r) for r in drift.found(raw).collect()}
     assert got == {("r", 2, "renamed", "temperature", "params.temp"), ("r", 2, "retyped", "seed", "seed"), ("r", 3, "removed", "seed", ""), ("r", 3, "added", "", "note")}
     table = drift.unified(raw).orderBy("file_no", "line_no").collect()
     assert len(table) == 6 and [r.temperature for r in table] == [0.2, 0.7, 0.2, 0.7, 0.7, 0.2]
@@ -81,5 +81,5 @@ def test_changes(spark):
 
 def test_no_lines(spark):
     raw = spark.createDataFrame([("r", 1, "f", 1, None, None, "nothing")], RAW)
-    assert drift.changes(*drift.headers(raw)).count() == 0
+    assert drift.found(raw).count() == 0
     assert drift.unified(raw).count() == 0

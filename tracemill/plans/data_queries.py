@@ -28,14 +28,22 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(*drift.headers(table(spark, sf_dir, "raw_results")))
+    return drift.found(table(spark, sf_dir, "raw_results"))
+
+
+def p5_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.headers(table(spark, sf_dir, "raw_results"))
+
+
+def p5_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.log(table(spark, sf_dir, "raw_results"))
 
 
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(table(spark, sf_dir, "raw_results"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_kept": p4_kept, "p5_found": p5_found, "p5_unified": p5_unified}
+QUERIES = {"p4_found": p4_found, "p4_kept": p4_kept, "p5_found": p5_found, "p5_headers": p5_headers, "p5_log": p5_log, "p5_unified": p5_unified}
 
 _EDGE = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
 
@@ -54,4 +62,10 @@ ranked as (select *, row_number() over (partition by mk, ck order by bad, seq de
 ORACLE = {
     "p4_found": f"with {_RANKED} select seq from ranked where rn > 1 and mk is not null and ck is not null",
     "p4_kept": f"with {_RANKED} select seq, mk as model_key, ck as case_key, batch from ranked where rn = 1 or mk is null or ck is null",
+    "p5_headers": """with v as (select run_id, file_no, line from raw_results where run_id is not null and file_no is not null and json_valid(line) and json_type(case when json_valid(line) then line end) = 'OBJECT'),
+one as (select v.run_id, v.file_no, k.key, json_type(line, '$."' || k.key || '"') t, json_extract(line, '$."' || k.key || '"') x from v, (select distinct unnest(json_keys(line)) as key, line as l from v) k where k.l = v.line),
+two as (select run_id, file_no, key || '.' || k2 as path, json_type(x, '$."' || k2 || '"') t from (select run_id, file_no, key, x, unnest(json_keys(x)) k2 from one where t = 'OBJECT')),
+cells as (select run_id, file_no, key as path, t from one where t <> 'OBJECT' or len(json_keys(x)) = 0 union all select * from two),
+kinds as (select run_id, file_no, path, list(distinct case t when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end) filter (where t <> 'NULL') k from cells group by 1, 2, 3)
+select run_id, file_no, path, case when len(k) = 1 then k[1] when len(k) > 1 then 'mixed' end as kind from kinds""",
 }
