@@ -58,3 +58,51 @@ def test_empty_tables(spark):
     assert labels.rates(df, ["model"]).count() == 0
     assert labels.contrast(labels.cells(df, "a", "b")).count() == 0
     assert labels.spearman(df.selectExpr("cluster as x", "cluster as y"), "x", "y").first().rho == 0.0
+
+
+def test_large_counts_take_little_time(spark):
+    import math
+    import time
+
+    def exact(b, c):
+        return min(1.0, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c))
+
+    pairs = [(0, 0), (1, 0), (5, 0), (85, 11), (30, 30), (500, 430), (1500, 1400)]
+    df = spark.createDataFrame(pairs, "b long, c long").withColumn("p", stats.mcnemar(F.col("b"), F.col("c")))
+    for r in df.collect():
+        assert abs(r.p - exact(r.b, r.c)) <= 1e-9 * max(1e-3, exact(r.b, r.c))
+    big = spark.createDataFrame([(500_000, 501_000)], "b long, c long")
+    ask = lambda: big.select(stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()[0].p
+    ask()
+    began = time.time()
+    p = ask()
+    assert time.time() - began < 1 and abs(p - math.erfc(999 / math.sqrt(1_001_000) / math.sqrt(2))) < 1e-4
+
+
+def test_fisher_equals_exact_sums(spark):
+    import math
+
+    def exact(k1, n1, k2, n2):
+        k = k1 + k2
+        p = lambda x: math.comb(n1, x) * math.comb(n2, k - x)
+        return sum(p(x) for x in range(max(0, k - n2), min(n1, k) + 1) if p(x) * 10**9 <= p(k1) * (10**9 + 1)) / math.comb(n1 + n2, k)
+
+    rows = [(3, 10, 7, 12), (0, 0, 0, 0), (0, 5, 0, 9), (5, 5, 0, 9), (40, 300, 80, 310), (1, 1000, 900, 1000), (500, 1000, 490, 1000)]
+    df = spark.createDataFrame(rows, "k1 long, n1 long, k2 long, n2 long")
+    for r in df.withColumn("p", stats.fisher(*[F.col(c) for c in df.columns])).collect():
+        want = 1.0 if not r.n1 + r.n2 else exact(r.k1, r.n1, r.k2, r.n2)
+        assert abs(r.p - want) <= 1e-9
+
+
+def test_ranks_over_many_ranges(spark):
+    rows = [(i % 7, (i * 37) % 100 / 10, i % 3 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, x double, y boolean").repartition(5)
+    got = {r.g: r.auc for r in labels.auc(df, "x", "y", ["g"]).collect()}
+    for g in range(7):
+        pos = [x for k, x, y in rows if k == g and y]
+        neg = [x for k, x, y in rows if k == g and not y]
+        want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+        assert abs(got[g] - want) < 1e-12
+    assert labels.spearman(df.withColumn("z", -F.col("x")), "x", "z").first().rho == -1.0
+    assert labels.spearman(df.withColumn("z", F.lit(1)), "x", "z").first().rho == 0.0
+    assert tuple(labels.spearman(df.limit(0), "x", "g").first()) == (0, 0.0)

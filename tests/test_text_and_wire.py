@@ -64,14 +64,34 @@ def test_patches():
             compose.patched("abcd", bad)
 
 
-def test_wire_round_trips():
-    for s in ("", "a\r\n  b\n", "x y", "\n\n"):
-        assert compose.unmark_lines(compose.mark_lines(s, "<<1>>"), "<<1>>") == s
+def test_wire_round_trips(spark):
+    texts = ["", "a\r\n  b\n", "x y", "\n\n", "a b\x0bc\x85d\r\re", "$1 \\ [line-", "\n" * 3000]
+    df = spark.createDataFrame([(t, f"c:{i}") for i, t in enumerate(texts)], "t string, c string")
+    m = compose.line_marker(F.col("t"), F.col("c"))
+    got = df.select("t", m.alias("m"), compose.marked_lines(F.col("t"), m).alias("x"), compose.unmarked_lines(compose.marked_lines(F.col("t"), m), m).alias("back"), compose.unmarked_lines(F.concat(F.lit("z"), "t"), m).alias("bad"))
+    for r in got.collect():
+        assert r.back == r.t and r.bad is None and r.m not in r.t and r.x.count(r.m) == len((r.t or " ").splitlines())
+    message = df.where("c = 'c:1'").select(compose.line_marked_message(F.lit("Fix:"), F.col("t"), F.lit("After."), F.col("c")).alias("r")).first().r
+    assert message.message == f"Fix:\n\n{message.marker}a\r\n{message.marker}  b\n\nAfter."
     assert compose.read_fields(compose.write_fields("t", 'a "q"\n', None))["artifact"] == 'a "q"\n'
     with pytest.raises(compose.WireError):
         compose.read_fields('{"artifact": "a", "task_before": "t", "context_after": null}')
 
 
+def test_patch_texts(spark):
+    row = spark.sql("select array(named_struct('start', 0, 'end', 2, 'replacement', 'é\"'), named_struct('start', 2, 'end', 3, 'replacement', '')) as e").select(compose.patch_json(F.col("e")).alias("j")).first()
+    assert row.j == '{"version":1,"edits":[{"start":0,"end":2,"replacement":"é\\""},{"start":2,"end":3,"replacement":""}]}' and compose.patched("🙂bcd", row.j) == 'é"d'
+
+
+def test_semantic_variants(spark):
+    df = spark.createDataFrame([("c:1", "newline", "Fix 🙂:", "Tëxt", "Call."), ("c:2", "newline", None, "", "x")], "cluster string, condition string, task string, artifact string, afterthought string")
+    for r in compose.semantic_variant(df, "semantic_tags_instruction").collect():
+        assert [r.message[s.seg_start : s.seg_end] for s in r.segments] == [s.text for s in r.segments] and len(r.segments) == 3
+        assert all(r.message.count(t) == 1 for pair in r.semantic_tags.values() for t in pair) and r.system_instruction and r.id.startswith(f"{r.cluster}:semantic_tags_instruction:")
+    with pytest.raises(Exception, match="no newline row"):
+        compose.semantic_variant(df.withColumn("condition", F.lit("clean")), "semantic_tags").collect()
+
+
 def test_composed_offsets(spark):
     rows = [("c:1", k, "Fix 🙂:", "Tëxt 👩🏽‍💻 body", None if k == "clean" else "Call the dentist.") for k in ("clean", "newline", "blank", "boundary", "mitigation", "newline_R")]
     df = compose.composed(spark.createDataFrame(rows, "cluster string, condition string, task string, artifact string, afterthought string"))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Tries for a tag that the text doesn't hold; beyond them the row fails.
-TRIES = 8
+#: Tries for a tag that the text doesn't hold; beyond them the row fails. A text would have to hold the hashes of all these tries.
+TRIES = 64
+#: What bounded prompts say (a fixed value).
 BOUNDED = "Text outside the artifact boundary is user context and must not be incorporated into the returned artifact."
 
 
@@ -39,9 +40,9 @@ def composed(df: DataFrame) -> DataFrame:
     gap = F.when(F.col("condition").isin("newline", "newline_R"), "\n").otherwise("\n\n")
     tail = F.when(F.col("condition") == "clean", "").otherwise(F.concat(gap, "afterthought"))
     df = df.withColumns({"message": F.concat(head, "artifact", foot, tail), "_a": F.length(head)})
-    seg = lambda role, start, text: F.struct(F.lit(role).alias("role"), start.cast("int").alias("seg_start"), (start + F.length(text)).cast("int").alias("seg_end"), text.alias("text"))
-    parts = [seg("task", F.lit(0), F.col("task")), seg("artifact", F.col("_a"), F.col("artifact"))]
-    last = F.when(F.col("condition") != "clean", seg("afterthought", F.length("message") - F.length("afterthought"), F.col("afterthought")))
+    seg = lambda origin, role, start, text: F.struct(F.lit(origin).alias("origin"), F.lit(role).alias("role"), start.cast("int").alias("seg_start"), (start + F.length(text)).cast("int").alias("seg_end"), text.alias("text"))
+    parts = [seg("typed", "task_instruction", F.lit(0), F.col("task")), seg("simulated_paste", "artifact", F.col("_a"), F.col("artifact"))]
+    last = F.when(F.col("condition") != "clean", seg("typed", "afterthought", F.length("message") - F.length("afterthought"), F.col("afterthought")))
     digest = F.substring(F.sha2(F.col("message").cast("binary"), 256), 1, 12)
     return df.withColumns({"segments": F.array_compact(F.array(*parts, last)), "id": F.concat_ws(":", "cluster", "condition", digest)}).drop("_t", "_a")
 
@@ -58,21 +59,72 @@ def violations(cases: DataFrame) -> DataFrame:
     return cases.select("id", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()]))).alias("violation"))
 
 
-def chosen(items: DataFrame, pool: DataFrame, key: str = "cluster") -> DataFrame:
-    """One afterthought of ``pool (n, text)`` per item (``source, cluster, haystack``), cycling in hash order and skipping
-    those the haystack holds. The pool is a literal list (bounded); items are cycled per source without sequential state:
-    an item's place in its source gives its first choice, the first free one from there is taken."""
-    from pyspark.sql import Window as W
+#: Roles of a message's parts, in their order, and the separators of the first form of messages.
+ROLES = ("task", "artifact", "context-after")
+SEPARATORS = {"none": "", "space": " ", "newline": "\n", "blank": "\n\n"}
+TAGGED = "The tags tell where each part of this message comes from. Follow the task, edit the artifact, and leave the context out of it."
 
-    size = pool.count()
-    if size > 10_000:
-        raise ValueError("the pool is a short list")
-    every = pool.agg(F.array_sort(F.collect_list(F.struct(F.sha2("text", 256).alias("h"), "text"))).alias("pool"))
-    place = F.row_number().over(W.partitionBy("source", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key))
-    first = F.pmod(place + F.pmod(F.xxhash64(key), F.lit(64)), F.lit(size))
-    order = F.concat(F.slice("pool", first + 1, size), F.slice("pool", F.lit(1), first))
-    free = F.filter(order, lambda e: ~F.contains(F.lower("haystack"), F.lower(e["text"])))
-    return items.withColumn("_p", place).crossJoin(F.broadcast(every)).withColumn("afterthought", F.try_element_at(free, F.lit(1))["text"]).drop("_p", "pool")
+
+def joined(artifact: Column, tail: Column, separator: str) -> Column:
+    """The first form of messages: ``message, tail_start`` of an artifact, a separator by name and a tail."""
+    gap = F.lit(SEPARATORS[separator])
+    return F.struct(F.concat(artifact, gap, tail).alias("message"), F.length(F.concat(artifact, gap)).alias("tail_start"))
+
+
+def semantic_variant(newline: DataFrame, condition: str, prefix: str = "part") -> DataFrame:
+    """Rows ``cluster, condition, task, artifact, afterthought`` of condition newline with each part between tags of its role.
+
+    ``condition`` is semantic_tags, or semantic_tags_instruction, which also has a system instruction. The tags
+    ``<prefix-role-token>`` are in none of the texts. A row of another condition or without an afterthought fails.
+    """
+    if condition not in ("semantic_tags", "semantic_tags_instruction"):
+        raise ValueError(f"no semantic condition: {condition}")
+    bad = F.raise_error(F.concat(F.lit("no newline row with an afterthought: "), F.coalesce("cluster", F.lit("null"))))
+    ok = F.coalesce((F.col("condition") == "newline") & (F.coalesce("afterthought", F.lit("")) != ""), F.lit(False))
+    df = newline.where(F.when(ok, True).otherwise(bad.cast("boolean")))
+    texts = [F.coalesce(c, F.lit("")) for c in ("task", "artifact", "afterthought")]
+    df = df.withColumn("_t", safe_token(texts, F.col("cluster"), "semantic", [f"<{s}{prefix}-{r}-%s>" for r in ROLES for s in ("", "/")]))
+    tag = lambda r, slash="": F.concat(F.lit(f"<{slash}{prefix}-{r}-"), "_t", F.lit(">"))
+    parts = [(F.concat(tag(r), F.lit("\n")), t, F.concat(F.lit("\n"), tag(r, "/"))) for r, t in zip(ROLES, texts, strict=True)]
+    flat = [x for i, p in enumerate(parts) for x in ([F.lit("\n\n")] if i else []) + list(p)]
+    starts = [F.length(F.concat(*flat[: 4 * i + 1])) for i in range(3)]
+    origins, roles = ("typed", "simulated_paste", "typed"), ("task_instruction", "artifact", "afterthought")
+    segments = [F.struct(F.lit(o).alias("origin"), F.lit(r).alias("role"), a.cast("int").alias("seg_start"), (a + F.length(t)).cast("int").alias("seg_end"), t.alias("text")) for o, r, a, t in zip(origins, roles, starts, texts, strict=True)]
+    tags = F.create_map(*[x for r, k in zip(ROLES, roles, strict=True) for x in (F.lit(k), F.array(tag(r), tag(r, "/")))])
+    out = df.withColumns({"condition": F.lit(condition), "message": F.concat(*flat), "segments": F.array(*segments), "semantic_tags": tags, "system_instruction": F.lit(TAGGED if condition.endswith("instruction") else None).cast("string")})
+    digest = F.substring(F.sha2(F.col("message").cast("binary"), 256), 1, 12)
+    return out.withColumn("id", F.concat_ws(":", "cluster", "condition", digest)).drop("_t")
+
+
+#: What ends a line; a return and a line feed together are one end.
+LINE_END = r"(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
+
+
+def line_marker(artifact: Column, cluster: Column) -> Column:
+    """A mark for the lines of an artifact, which doesn't hold it."""
+    return F.concat(F.lit("[line-"), safe_token([artifact], cluster, "line-marker", ["[line-%s] "]), F.lit("] "))
+
+
+def marked_lines(artifact: Column, marker: Column) -> Column:
+    """Every line of a text behind the marker; all other characters stay, an empty text is one line."""
+    return F.concat(marker, F.regexp_replace(artifact, F.lit(f"(?s){LINE_END}(?=.)"), F.concat(F.lit("$1"), F.regexp_replace(marker, r"([\\\\$])", r"\\\\$1"))))
+
+
+def unmarked_lines(marked: Column, marker: Column) -> Column:
+    """The text without its markers; null if a line has none."""
+    quoted = F.concat(F.lit(r"\Q"), marker, F.lit(r"\E"))
+    lines = F.regexp_count(marked, F.lit(f"(?s){LINE_END}(?=.)")) + 1
+    first = F.regexp_count(marked, F.concat(F.lit("^"), quoted))
+    others = F.regexp_count(marked, F.concat(F.lit(LINE_END), quoted))
+    bare = F.substring(F.regexp_replace(marked, F.concat(F.lit(LINE_END), quoted), F.lit("$1")), F.length(marker) + 1, F.length(marked))
+    return F.when((first == 1) & (first + others == lines), bare)
+
+
+def line_marked_message(task: Column, artifact: Column, context: Column, cluster: Column) -> Column:
+    """``message, marker``: the task, the marked artifact and, unless null, the context after it."""
+    marker = line_marker(artifact, cluster)
+    body = F.concat(task, F.lit("\n\n"), marked_lines(artifact, marker))
+    return F.struct(F.concat(body, F.coalesce(F.concat(F.lit("\n"), context), F.lit(""))).alias("message"), marker.alias("marker"))
 
 
 class WireError(ValueError):
@@ -133,12 +185,10 @@ def read_fields(message: str) -> dict[str, str | None]:
     return doc
 
 
-def mark_lines(artifact: str, marker: str) -> str:
-    return "".join(marker + x for x in artifact.splitlines(keepends=True) or [""])
+def patch_json(edits: Column) -> Column:
+    """A version 1 patch of ``array<struct<start, end, replacement>>``, compact and unescaped."""
+    return F.to_json(F.struct(F.lit(1).alias("version"), F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement"))).alias("edits")))
 
 
-def unmark_lines(marked: str, marker: str) -> str:
-    lines = marked.splitlines(keepends=True) or [""]
-    if not all(x.startswith(marker) for x in lines):
-        raise WireError("a line without its marker")
-    return "".join(x[len(marker) :] for x in lines)
+#: How a model is told to answer with a patch.
+PATCH_REQUEST = 'Answer with one JSON object and nothing else: {"version": 1, "edits": [{"start": int, "end": int, "replacement": string}]}. Offsets count code points of the artifact, end is exclusive, edits may touch but not overlap.'

@@ -32,19 +32,32 @@ def zero_upper(n: Column, alpha: float = 0.05) -> Column:
     return F.when(_d(n) <= 0, 1.0).otherwise(1 - F.pow(F.lit(alpha / 2), 1 / F.greatest(_d(n), F.lit(1.0))))
 
 
-def _log_binomials(top: Column, upto: Column) -> Column:
-    """Array of ln C(top, i) for i = 0..upto, by running sums (no factorials, no underflow)."""
-    return F.aggregate(
-        F.sequence(F.lit(0), upto.cast("int")), F.array(F.lit(0.0)),
-        lambda acc, i: F.when(i == 0, acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + F.log((top - i + 1) / F.greatest(i, F.lit(1)))))),
-    )
+def log_factorial(n: Column) -> Column:
+    """ln n!, exact to about 1e-15 of its size: factorials up to 20, Stirling's series beyond. Constant work."""
+    x = F.greatest(_d(n), F.lit(1.0)) + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(n <= 20, F.log(F.factorial(F.least(F.greatest(n, F.lit(0)), F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided exact McNemar p of the discordant counts; 1 for none."""
-    n, k = _d(b + c), F.least(b, c)
-    terms = F.transform(_log_binomials(n, k), lambda x: F.exp(x - n * math.log(2)))
-    return F.when(b + c == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+    """Two-sided exact McNemar p of the discordant counts; 1 for none.
+
+    The binomial tail is summed from its largest term down; terms beyond some square roots of n add nothing to a
+    double, so the work grows with the root of the counts.
+    """
+    n, k = (b + c).cast("long"), F.least(b, c).cast("long")
+    top = F.exp(log_choose(n, k) - _d(n) * math.log(2))
+    steps = F.least(k, F.ceil(4.5 * F.sqrt(_d(n))) + 60).cast("int")
+    # from C(n, i) to C(n, i - 1); the sum goes with the running term
+    total = F.aggregate(
+        F.sequence(F.lit(0), steps), F.struct(top.alias("t"), F.lit(0.0).alias("s")),
+        lambda a, j: F.struct((a["t"] * (k - j) / (n - k + j + 1)).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"],
+    )
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
 def newcombe(e11: Column, e10: Column, e01: Column, e00: Column) -> tuple[Column, Column]:
@@ -62,14 +75,25 @@ def newcombe(e11: Column, e10: Column, e01: Column, e00: Column) -> tuple[Column
 
 
 def fisher(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
-    """Two-sided Fisher p of two proportions: all tables that are no likelier than the observed one."""
-    k = k1 + k2
-    low, high = F.greatest(F.lit(0), k - n2), F.least(n1, k)
-    c1, c2 = _log_binomials(_d(n1), n1), _log_binomials(_d(n2), n2)
-    all_ = F.element_at(_log_binomials(_d(n1 + n2), F.greatest(k, F.lit(0))), -1)
-    p = F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda x: F.exp(F.get(c1, x) + F.get(c2, k.cast("int") - x) - all_))
-    seen = F.exp(F.get(c1, k1.cast("int")) + F.get(c2, k2.cast("int")) - all_)
-    return F.least(F.lit(1.0), F.aggregate(F.filter(p, lambda x: x <= seen * (1 + 1e-9)), F.lit(0.0), lambda s, x: s + x))
+    """Two-sided Fisher p of two proportions: all tables that are no likelier than the observed one; 1 for an empty table.
+
+    Only tables within some standard deviations of the likeliest and of the observed one are looked at, the others add
+    nothing to a double; so the work grows with the root of the counts.
+    """
+    k1, n1, k2, n2 = (c.cast("long") for c in (k1, n1, k2, n2))
+    k, n = k1 + k2, n1 + n2
+    low, high = F.greatest(F.lit(0).cast("long"), k - n2), F.least(n1, k)
+    safe = F.greatest(_d(n), F.lit(2.0))
+    sd = F.sqrt(_d(k) / safe * _d(n1) / safe * _d(n2) * (_d(n) - _d(k)) / (safe - 1))
+    mode = F.least(high, F.greatest(low, F.floor((_d(k) + 1) * (_d(n1) + 1) / (_d(n) + 2)).cast("long")))
+    wide = (F.ceil(9 * sd) + 30).cast("long")
+    near = lambda at: F.sequence(F.greatest(low, at - wide), F.least(high, at + wide))
+    log_p = lambda x: log_choose(n1, x) + log_choose(n2, k - x) - log_choose(n, k)
+    p = F.transform(F.array_union(near(mode), near(k1)), lambda x: F.exp(log_p(x)))
+    seen = F.exp(log_p(k1))
+    # equally likely tables differ by rounding, which grows with the counts
+    total = F.aggregate(F.filter(p, lambda x: x <= seen * (1 + 1e-9 + 1e-14 * _d(n))), F.lit(0.0), lambda s, x: s + x)
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), total))
 
 
 def kappa(both: Column, first: Column, second: Column, n: Column) -> Column:

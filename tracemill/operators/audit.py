@@ -23,8 +23,12 @@ def grid(log: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def flagged(expected: DataFrame) -> DataFrame:
-    """Rows of a grid with lengths and ``flags``; a missing row has that flag alone."""
-    g = expected.withColumn("span", T.artifact_span("response", "genre")).withColumns({"words": F.coalesce(T.word_count(F.col("span")), F.lit(0)), "chars": F.coalesce(F.length("response"), F.lit(0))})
+    """Rows of a grid with lengths of answer and span (``chars``, ``response_words``, ``artifact_chars``, ``words``) and ``flags``; a missing
+    row has that flag alone. ``parses_without_tags`` tells of code that isn't Python whether it is without lines of boundary tags."""
+    size = lambda c: F.coalesce(c, F.lit(0))
+    g = expected.withColumn("span", T.artifact_span("response", "genre")).withColumns({
+        "words": size(T.word_count(F.col("span"))), "chars": size(F.length("response")), "response_words": size(T.word_count(F.col("response"))), "artifact_chars": size(F.length("span"))})
+    g = g.withColumn("_bad", F.when((F.col("genre") == "code") & (F.coalesce("span", F.lit("")) != ""), T.python_problem("span")))
     clean = g.where("condition = 'clean' and row_present").groupBy("model_key", "cluster").agg(F.max("words").alias("clean_words"))
     g = g.join(clean, ["model_key", "cluster"], "left")
     text = F.coalesce("response", F.lit(""))
@@ -33,10 +37,12 @@ def flagged(expected: DataFrame) -> DataFrame:
         "nonstop_finish": F.col("finish_reason").isNotNull() & (F.col("finish_reason") != "stop"), "refusal_like": T.refuses(F.col("response")),
         "empty_artifact_span": (text != "") & (F.coalesce("span", F.lit("")) == ""),
         "severely_short_vs_clean": (F.col("condition") != "clean") & (F.col("clean_words") >= 80) & (F.col("words") < 12) & (F.col("words") < 0.15 * F.col("clean_words")),
-        "python_syntax_error": (F.col("genre") == "code") & (F.coalesce("span", F.lit("")) != "") & T.python_problem("span").isNotNull(),
+        "python_syntax_error": F.col("_bad").isNotNull(),
     }
     flags = F.when(~F.col("row_present"), F.array(F.lit("missing"))).otherwise(F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()])))
-    return g.withColumn("flags", flags).select("model_key", "case_key", "cluster", "source", "genre", "condition", "row_present", "chars", "words", "flags")
+    retried = F.when(F.col("_bad").isNotNull(), T.python_problem(T.without_tag_lines(F.col("span"))).isNull())
+    g = g.withColumns({"flags": flags, "parses_without_tags": retried})
+    return g.select("model_key", "case_key", "cluster", "source", "genre", "condition", "row_present", "error", "finish_reason", "chars", "response_words", "artifact_chars", "words", "span", "parses_without_tags", "flags")
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -51,3 +57,18 @@ def paired(rows: DataFrame, flag: str, treated: str) -> DataFrame:
     cell = lambda x, y: F.count_if((F.col("a") == x) & (F.col("b") == y))
     out = pairs.groupBy("model_key").agg(cell(1, 1).alias("both"), cell(1, 0).alias("clean_only"), cell(0, 1).alias("treated_only"), cell(0, 0).alias("neither"))
     return out.withColumn("p", stats.mcnemar(F.col("clean_only"), F.col("treated_only")))
+
+
+def plain_flags(expected: DataFrame) -> DataFrame:
+    """The flags that don't depend on the artifact's span."""
+    keep = ("missing", "error", "empty_response", "length_truncated", "nonstop_finish", "refusal_like")
+    text = F.coalesce("response", F.lit(""))
+    rules = {"error": F.coalesce("error", F.lit("")) != "", "empty_response": text == "", "length_truncated": F.col("finish_reason") == "length", "nonstop_finish": F.col("finish_reason").isNotNull() & (F.col("finish_reason") != "stop"), "refusal_like": T.refuses(F.col("response"))}
+    flags = F.when(~F.col("row_present"), F.array(F.lit(keep[0]))).otherwise(F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()])))
+    return expected.select("model_key", "case_key", "cluster", "condition", flags.alias("flags"))
+
+
+def syntax_rates(rows: DataFrame) -> DataFrame:
+    """Per condition: code answers, those that are no Python, and their share."""
+    code = rows.where("genre = 'code' and row_present").groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.array_contains("flags", "python_syntax_error")).alias("invalid"))
+    return code.withColumn("share", stats.ratio(F.col("invalid"), F.col("n")))

@@ -1,11 +1,12 @@
 """At-least-once delivery: keep exactly one row per message.
 
-The identifiers seen so far are kept as immutable runs of sorted arrays, one set per prefix of the
-identifier's hash, in a table of the shared folder. A batch is first reduced to its best row per
-identifier (a partial aggregate, so that one identifier with a third of all rows is no problem),
-then binary-searched in the runs of its prefix; unknown identifiers become a new run, and runs are
-merged whenever ``max_runs`` of them have gathered. A later and better row of a known identifier
-takes the survivor's place in the run.
+The identifiers seen so far are kept as immutable runs of sorted arrays, by prefix of the identifier's
+hash, in the shared folder. A batch is first reduced to its best row per identifier (a partial aggregate,
+so that one identifier with a third of all rows is no problem), then binary-searched in the runs of the
+prefixes it touches: identifiers that are new, or whose new row is better than the one kept, become the
+prefix's next run. Nothing that was written is changed: an entry of a later run stands for the same
+identifier's entries of earlier ones. Once a prefix has more than ``max_runs`` runs they are merged to one.
+A manifest per batch says which folders hold each prefix's runs; other prefixes aren't read or written.
 
 Edge cases: a row with a null in any identifier column is a message of its own and always stays.
 Null ``error`` and an ``error`` of blanks are no error text. Rows equal in every column but ``seq``
@@ -14,16 +15,19 @@ are copies. An empty table gives an empty index. Columns beyond those named are
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.session import fresh_path
+from tracemill.session import fresh_path, written
 
 INDEX = "prefix long, run int, hi array<long>, lo array<long>, clean array<boolean>, seq array<long>"
+#: One run, and whether it stands for all earlier ones of its prefix.
+RUN = "prefix long, whole boolean, hi array<long>, lo array<long>, clean array<boolean>, seq array<long>"
 ROWS_PER_PREFIX = 200_000
 
 
@@ -49,29 +53,35 @@ class Runs:
             at[open_] += 1
         return found
 
-    def add(self, hi: np.ndarray, lo: np.ndarray, clean: np.ndarray, seq: np.ndarray) -> None:
+    @staticmethod
+    def best(hi: np.ndarray, lo: np.ndarray, clean: np.ndarray, seq: np.ndarray) -> list[np.ndarray]:
+        """Sorted, with the best row of each identifier: one without error text, then the largest ``seq``."""
         order = np.lexsort((-seq, ~clean, lo, hi))
         hi, lo, clean, seq = (a[order] for a in (hi, lo, clean, seq))
         first = np.ones(len(hi), bool)
         first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        hi, lo, clean, seq = (a[first] for a in (hi, lo, clean, seq))
-        novel = np.ones(len(hi), bool)
-        for run in self.runs:
+        return [a[first] for a in (hi, lo, clean, seq)]
+
+    def add(self, hi: np.ndarray, lo: np.ndarray, clean: np.ndarray, seq: np.ndarray) -> list[np.ndarray] | None:
+        """Look a batch up in the runs, the latest first; what is new or better becomes a run, which is returned."""
+        hi, lo, clean, seq = self.best(hi, lo, clean, seq)
+        open_, keep = np.ones(len(hi), bool), np.ones(len(hi), bool)
+        for run in reversed(self.runs):
             at = self.find(run, hi, lo)
-            known = at >= 0
-            novel &= ~known
+            known = open_ & (at >= 0)
             p, c, s = at[known], clean[known], seq[known]
-            better = (c & ~run[2][p]) | ((c == run[2][p]) & (s > run[3][p]))
-            run[2][p[better]], run[3][p[better]] = c[better], s[better]
-        if novel.any():
-            self.runs.append([a[novel].copy() for a in (hi, lo, clean, seq)])
+            keep[known] = (c & ~run[2][p]) | ((c == run[2][p]) & (s > run[3][p]))
+            open_ &= ~known
+        if not keep.any():
+            return None
+        self.runs.append([a[keep].copy() for a in (hi, lo, clean, seq)])
         if len(self.runs) > self.max_runs:
             self.merge()
+        return self.runs[-1]
 
     def merge(self) -> None:
-        parts = [np.concatenate(x) for x in zip(*self.runs, strict=True)]
-        order = np.lexsort((parts[1], parts[0]))
-        self.runs = [[a[order] for a in parts]]
+        """All runs as one. A later entry is the better one, so the best of each identifier stands."""
+        self.runs = [self.best(*(np.concatenate(x) for x in zip(*self.runs, strict=True)))]
 
 
 def message_rows(df: DataFrame, keys: list[Column], error: Column, seq: Column, batch: Column) -> DataFrame:
@@ -87,32 +97,97 @@ def message_rows(df: DataFrame, keys: list[Column], error: Column, seq: Column,
     )
 
 
-def ingest(rows: DataFrame, n_rows: int, index: DataFrame | None = None, prefixes: int | None = None, max_runs: int = 8) -> DataFrame:
-    """The index after ``rows`` (see ``message_rows``) were taken in, batch after batch.
+def _taken(p: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    return p["hi"].to_numpy(np.int64), p["lo"].to_numpy(np.int64), p["clean"].to_numpy(bool), p["seq"].to_numpy(np.int64)
+
+
+def _prefix(hi: str, bits: int) -> Column:
+    return F.shiftrightunsigned(hi, 64 - bits) if bits else F.lit(0).cast("long")
+
 
-    ``prefixes`` must be that of the given index; by default it follows ``n_rows``, so that the rows
-    of a prefix fit in one task at any size.
-    """
-    bits = (prefixes or max(8, 1 << (max(1, n_rows) // ROWS_PER_PREFIX).bit_length())).bit_length() - 1
+def bits_for(rows: int) -> int:
+    """Bits of the prefix with which a prefix's identifiers fit in one task: by the number of rows expected in all."""
+    return max(3, (max(1, rows) // ROWS_PER_PREFIX).bit_length())
+
+
+def ingest(rows: DataFrame, n_rows: int, max_runs: int = 8) -> DataFrame:
+    """The index of a whole table (see ``message_rows``), its batches taken in one after the other."""
+    bits = bits_for(n_rows)
     best = rows.groupBy("hi", "lo", "batch").agg(F.max(F.struct("clean", "seq")).alias("m"))
-    news = best.select(F.shiftrightunsigned("hi", 64 - bits).alias("prefix"), F.lit(None).cast("int").alias("run"), "hi", "lo", "m.clean", "m.seq", "batch")
-    if index is not None:
-        old = index.select("prefix", "run", F.explode(F.arrays_zip("hi", "lo", "clean", "seq")).alias("x"))
-        news = news.unionByName(old.select("prefix", "run", "x.hi", "x.lo", "x.clean", "x.seq", F.lit("").alias("batch")))
+    news = best.select(_prefix("hi", bits).alias("prefix"), "hi", "lo", "m.clean", "m.seq", "batch")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = Runs(max_runs)
-        take = lambda p: (p["hi"].to_numpy(np.int64), p["lo"].to_numpy(np.int64), p["clean"].to_numpy(bool), p["seq"].to_numpy(np.int64))
-        for _, p in pdf[pdf["run"].notna()].groupby("run"):
-            runs.add(*take(p))
-        for _, p in pdf[pdf["run"].isna()].groupby("batch"):
-            runs.add(*take(p))
+        for _, p in pdf.groupby("batch"):
+            runs.add(*_taken(p))
+        runs.merge()
         out = [(pdf["prefix"].iloc[0], i, *map(list, r)) for i, r in enumerate(runs.runs)]
         return pd.DataFrame(out, columns=["prefix", "run", "hi", "lo", "clean", "seq"])
 
     return news.groupBy("prefix").applyInPandas(one, INDEX)
 
 
+class Index:
+    """The runs of arrivals that come in one after the other, in a folder; ``expected`` rows in all fix the prefixes."""
+
+    def __init__(self, spark: SparkSession, path: str, expected: int, max_runs: int = 8) -> None:
+        self.spark, self.path, self.bits, self.max_runs = spark, path, bits_for(expected), max_runs
+        #: Prefix to the batches whose folders hold its runs, in their order; at most 2 ** bits entries.
+        self.manifest: dict[str, list[int]] = {}
+        self.batch = -1
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str, batch: int, expected: int, max_runs: int = 8) -> Index:
+        """The index as it was after a batch."""
+        out = cls(spark, path, expected, max_runs)
+        out.manifest, out.batch = json.loads(spark.read.text(f"{path}/manifest/batch={batch}").first()[0]), batch
+        return out
+
+    def _read(self, prefixes: list[str]) -> DataFrame:
+        """The runs of some prefixes with the batch they came with."""
+        files = sorted({f"{self.path}/runs/batch={b}/prefix={p}" for p in prefixes for b in self.manifest.get(p, [])})
+        if not files:
+            return self.spark.createDataFrame([], f"{RUN}, batch int")
+        return self.spark.read.option("basePath", f"{self.path}/runs").schema(f"{RUN}, batch int").parquet(*files)
+
+    def add(self, rows: DataFrame) -> None:
+        """Take in one batch (see ``message_rows``)."""
+        best = rows.groupBy("hi", "lo").agg(F.max(F.struct("clean", "seq")).alias("m")).select(_prefix("hi", self.bits).alias("prefix"), "hi", "lo", "m.clean", "m.seq")
+        best = written(best, "batch")
+        touched = [str(r[0]) for r in best.select("prefix").distinct().collect()]  # at most 2 ** bits
+        limit = self.max_runs
+
+        def one(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            runs = Runs(limit)
+            for r in old.sort_values("batch").itertuples():
+                runs.runs.append([np.asarray(r.hi, np.int64), np.asarray(r.lo, np.int64), np.asarray(r.clean, bool), np.asarray(r.seq, np.int64)])
+            had = len(runs.runs)
+            run = runs.add(*_taken(new)) if len(new) else None
+            out = [] if run is None else [(key[0], len(runs.runs) <= had, *map(list, run))]
+            return pd.DataFrame(out, columns=["prefix", "whole", "hi", "lo", "clean", "seq"])
+
+        self.batch += 1
+        made = best.groupBy("prefix").cogroup(self._read(touched).groupBy("prefix")).applyInPandas(one, RUN)
+        where = f"{self.path}/runs/batch={self.batch}"
+        made.write.mode("overwrite").partitionBy("prefix").parquet(where)
+        if touched:
+            for r in self.spark.read.schema(RUN).parquet(where).select("prefix", "whole").collect():  # one row a touched prefix
+                p = str(r.prefix)
+                self.manifest[p] = [self.batch] if r.whole else [*self.manifest.get(p, []), self.batch]
+        self.spark.createDataFrame([(json.dumps(self.manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/batch={self.batch}")
+
+    def table(self) -> DataFrame:
+        """The index as one merged run a prefix, in the form of ``ingest``."""
+
+        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            runs = Runs()
+            runs.runs = [[np.asarray(r.hi, np.int64), np.asarray(r.lo, np.int64), np.asarray(r.clean, bool), np.asarray(r.seq, np.int64)] for r in pdf.itertuples()]
+            runs.merge()
+            return pd.DataFrame([(key[0], 0, *map(list, runs.runs[0]))], columns=["prefix", "run", "hi", "lo", "clean", "seq"])
+
+        return self._read(list(self.manifest)).groupBy("prefix").applyInPandas(one, INDEX)
+
+
 def survivors(index: DataFrame) -> DataFrame:
     return index.select(F.explode("seq").alias("seq"))
 
@@ -121,7 +196,7 @@ def index_of(df: DataFrame, keys: list[Column], error: Column, seq: Column, batc
     """Build the persisted index of a whole table and read it back from the shared folder."""
     rows = message_rows(df, keys, error, seq, batch)
     path = fresh_path(df.sparkSession, "message-index")
-    ingest(rows, df.count()).write.parquet(path)
+    ingest(rows, df.select(F.lit(1)).count()).write.parquet(path)
     return df.sparkSession.read.schema(INDEX).parquet(path)
 
 
@@ -142,10 +217,10 @@ def deduplicated(df: DataFrame, index: DataFrame, keys: list[Column], seq: str =
     return df.join(survivors(index).withColumnRenamed("seq", seq), seq, "left_semi").select(df.columns).unionByName(lone)
 
 
-def batches(files: Iterator[DataFrame], keys: list[Column], error: Column, seq: Column, batch: Column, path: str, prefixes: int = 1024) -> DataFrame | None:
-    """Take in arrivals one after the other; each generation of the index is a new folder of ``path``."""
+def batches(files: Iterator[DataFrame], keys: list[Column], error: Column, seq: Column, batch: Column, path: str, expected: int) -> DataFrame | None:
+    """Take in arrivals one after the other; ``expected`` rows in all. None if nothing arrived."""
     index = None
-    for n, df in enumerate(files):
-        ingest(message_rows(df, keys, error, seq, batch), 0, index, prefixes).write.parquet(f"{path}/generation={n}")
-        index = df.sparkSession.read.schema(INDEX).parquet(f"{path}/generation={n}")
-    return index
+    for df in files:
+        index = index or Index(df.sparkSession, path, expected)
+        index.add(message_rows(df, keys, error, seq, batch))
+    return None if index is None else index.table()

@@ -83,7 +83,8 @@ def fields(schema: str) -> list[tuple[str, str | None]]:
         nonlocal at
         if skip("OBJECT<"):
             if skip(">"):
-                out.append((path, "object"))
+                if path:
+                    out.append((path, "object"))
                 return
             while True:
                 inner = name()
@@ -249,7 +250,10 @@ def unified(raw: DataFrame) -> DataFrame:
     """
     head = headers(raw)
     schema = union_schema(head, profiles(raw, head))
-    text = lambda p: F.try_variant_get("v", "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in p.split(".")), "string")
+    quoted = lambda k: f'["{k}"]' if "'" in k else f"['{k}']"  # noqa: E731 - a key with both kinds of quotes can't be asked for
+    at = lambda keys: F.lit(None).cast("string") if any("'" in k and '"' in k for k in keys) else F.try_variant_get("v", "$" + "".join(map(quoted, keys)), "string")
+    # a dot may also be part of a key
+    text = lambda p: F.coalesce(at(p.split(".")), at([p])) if "." in p else at([p])
     cols, rest = [], []
     for name, ty, paths in schema:
         value = F.coalesce(*[text(p) for p in paths])

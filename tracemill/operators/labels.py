@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions import stats
+from tracemill.session import written
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -77,18 +78,44 @@ def adjacent(df: DataFrame, by: str, order: str, k: str, n: str) -> DataFrame:
     return out.withColumn("p", stats.fisher(F.col(k), F.col(n), F.col("k2"), F.col("n2")))
 
 
+def summed_before(df: DataFrame, by: list[str], order: list[str], value: str, to: str) -> DataFrame:
+    """``df`` with ``to``: the sum of ``value`` over the rows of its group that come before in ``order`` (which must be unique).
+
+    Rows are range-partitioned; the ranges' sums are added up first (as many rows as partitions), then the rows inside
+    their range. So a group of any size is spread over many tasks. Written once, so that lost tasks see the same ranges.
+    """
+    parts = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy(*by, "_range").agg(F.sum(value).alias("_s"))
+    earlier = F.sum("_s").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), F.coalesce(earlier, F.lit(0)).alias("_start"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("_inside", inside).join(starts, same).withColumn(to, F.col("_start") + F.col("_inside")).select(*df.columns, to)
+
+
 def ranks(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Average ranks of a small table's column; nulls get none."""
-    w = W.partitionBy(F.col(column).isNull()).orderBy(column)
-    ties = W.partitionBy(column)
-    return df.withColumn(to, F.when(F.col(column).isNotNull(), F.rank().over(w) + (F.count("*").over(ties) - 1) / 2))
+    """``column, to``: the average rank of each distinct value; nulls get none. Values are counted first, so ties cost nothing."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    return summed_before(counts, [], [column], "_n", "_b").select(column, (F.col("_b") + (F.col("_n") + 1) / 2).alias(to))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``n, rho`` of two columns; 0 where a column doesn't vary."""
-    r = ranks(ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_x"), y, "_y")
-    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
-    return r.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), F.when(spread > 1e-12, spread)), F.lit(0.0)).alias("rho"))
+    """``n, rho`` of two columns; 0 where a column doesn't vary. Equal pairs are counted before they are ranked."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_w"))
+    pairs = written(pairs, "pairs")
+    whole = pairs.withColumn("_k", F.explode(F.array(F.lit(0))))  # keeps the names of both sides apart
+    weight = lambda c: pairs.groupBy(c).agg(F.sum("_w").alias("_n"))
+    rank = lambda c, to: summed_before(weight(c), [], [c], "_n", "_b").select(c, (F.col("_b") + (F.col("_n") + 1) / 2).alias(to))
+    r = whole.join(rank(x, "_x"), x).join(rank(y, "_y"), y)
+    total = F.sum("_w").cast("double")
+    mx, my = F.sum(F.col("_w") * F.col("_x")) / total, F.sum(F.col("_w") * F.col("_y")) / total
+    means = r.agg(F.sum("_w").alias("n"), mx.alias("_mx"), my.alias("_my"))
+    d = r.crossJoin(F.broadcast(means)).select("_w", (F.col("_x") - F.col("_mx")).alias("a"), (F.col("_y") - F.col("_my")).alias("b"))  # one row
+    sums = d.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"), F.sum(F.col("_w") * F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("_w") * F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("_w") * F.col("b") * F.col("b")).alias("bb"))
+    spread = F.sqrt(F.col("aa") * F.col("bb"))
+    return sums.select("n", F.coalesce(F.try_divide("ab", F.when(spread > 1e-12, spread)), F.lit(0.0)).alias("rho"))
 
 
 def lever(labels: DataFrame, first: str, second: str, draws: int = 10_000) -> DataFrame:
@@ -147,6 +174,5 @@ def confusion(df: DataFrame, predicted: Column, gold: Column, by: list[str]) ->
 def auc(df: DataFrame, score: str, gold: str, by: list[str]) -> DataFrame:
     """Area under the curve by rank sums; scores are counted first, so equal scores cost nothing. Null if a class is missing."""
     g = df.where(F.col(score).isNotNull() & F.col(gold).isNotNull()).groupBy(*by, score).agg(F.count_if(gold).alias("pos"), F.count_if(~F.col(gold)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("u", F.col("pos") * (below + F.col("neg") / 2))
+    g = summed_before(g, by, [score], "neg", "_below").withColumn("u", F.col("pos") * (F.col("_below") + F.col("neg") / 2))
     return g.groupBy(*by).agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))

@@ -11,18 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def stratified(df: DataFrame, item: str, text: str, source: str, limit: int) -> DataFrame:
+def stratified(df: DataFrame, item: str, text: str, source: str, limit: int, strict: bool = True) -> DataFrame:
     """``limit`` items per source, evenly from the thirds of text length, in hash order.
 
-    Items with equal text count once (least id). A source with fewer items gives all it has. Thirds
-    come from exact counts of lengths, which are few whatever the number of items.
+    Items with equal text count once (least id). A source with fewer items fails the query, or with
+    ``strict`` false gives all it has. Thirds come from exact counts of lengths, which are few whatever the number of items.
     """
     d = df.where(F.col(text).isNotNull() & F.col(source).isNotNull()).groupBy(source, F.sha2(F.col(text).cast("binary"), 256).alias("_h")).agg(F.min(item).alias(item), F.first(F.length(text)).alias("_n"))
     lengths = d.groupBy(source, "_n").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(W.partitionBy(source).orderBy("_n").rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("c").over(W.partitionBy(source))
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("total") * q / 3), F.col("_n")))
-    cuts = lengths.select(source, "_n", upto.alias("upto"), total.alias("total")).groupBy(source).agg(at(1).alias("lo"), at(2).alias("hi"))
+    cuts = lengths.select(source, "_n", upto.alias("upto"), total.alias("total")).groupBy(source).agg(at(1).alias("lo"), at(2).alias("hi"), F.max("total").alias("_total"))
+    if strict:
+        short = F.raise_error(F.concat(F.col(source), F.lit(": only "), F.col("_total").cast("string"), F.lit(f" items for {limit}")))
+        cuts = cuts.where(F.when(F.col("_total") < limit, short.cast("boolean")).otherwise(True))
     b = d.join(cuts, source).withColumn("bucket", F.when(F.col("_n") <= F.col("lo"), 0).when(F.col("_n") <= F.col("hi"), 1).otherwise(2))
     key = F.sha2(F.concat_ws(":", source, F.col(item).cast("string")).cast("binary"), 256)
     # ranks beyond the limit can't be drawn: the window keeps only a top of each bucket

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import compose, stats, text
 from tracemill.functions.spelling import squeezed
-from tracemill.operators import audit, labels, mining, scoring
+from tracemill.operators import audit, building, labels, mining, scoring
 from tracemill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,7 +124,13 @@ def genre_gradient(spark: SparkSession, d: str) -> DataFrame:
     return labels.gradient(lab, sources, list(_pair(lab)))
 
 
-@query()
+# the same by another way: running sums of logarithms over all tables, no closed form and no window
+@query(f"""with recursive {GRADIENT}, a as (select model, source, n as n1, k as k1, lead(source) over w as next, lead(k) over w as k2, lead(n) over w as n2 from gr window w as (partition by model order by source)),
+b as (select *, greatest(0, k1 + k2 - n2) lo, least(n1, k1 + k2) hi from a where next is not null), f(i, l) as (select 0::bigint, 0.0::double union all select i + 1, l + ln(i + 1) from f where i < 400000 and i < (select max(n1 + n2) from b)),
+t as (select b.*, x, (select l from f where i = n1) - (select l from f where i = x) - (select l from f where i = n1 - x) + (select l from f where i = n2) - (select l from f where i = k1 + k2 - x) - (select l from f where i = n2 - k1 - k2 + x) as lp from (select *, unnest(range(lo, hi + 1)) x from b) b),
+m as (select model, source, next, lp - ln(sum(exp(lp - m)) over (partition by model, source)) - m as lp, x = k1 as seen from (select *, max(lp) over (partition by model, source) m from t))
+select r.model, r.source, any_value(g.n) n, any_value(g.k) k, r.next, any_value(g2.k) k2, any_value(g2.n) n2, round(least(1.0, sum(exp(r.lp)) filter (where r.lp <= s.lp + 1e-9)), 9) as p
+ from m r join m s on s.model = r.model and s.source = r.source and s.seen join gr g on g.model = r.model and g.source = r.source join gr g2 on g2.model = r.model and g2.source = r.next group by r.model, r.source, r.next""")
 def adjacent_fisher(spark: SparkSession, d: str) -> DataFrame:
     return rounded(labels.adjacent(genre_gradient(spark, d), "model", "source", "k", "n"))
 
@@ -204,10 +210,23 @@ def usable_filter(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).where(scoring.usable()).select("model_key", "case_key", "seq")
 
 
-@query(f"with {LOG} select l.model_key, l.case_key from log l where not exists (select 1 from usable u where u.model_key = l.model_key and u.case_key = l.case_key)")
+@query(f"""with {LOG}, jobs as (select model_key, case_key from (select distinct {_sq('model')} model_key from model_registry), (select distinct {_sq('id')} case_key from cases where id is not null))
+select j.model_key, j.case_key from jobs j where not exists (select 1 from usable u where u.model_key = j.model_key and u.case_key = j.case_key)""")
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
-    return scoring.pending(log.select("model_key", "case_key"), log)
+    models = [r[0] for r in table(spark, d, "model_registry").select(squeezed(F.col("model"))).distinct().orderBy(F.lit(1)).collect()]  # a short list
+    return scoring.pending(scoring.jobs(models, table(spark, d, "cases")), _log(spark, d))
+
+
+STOP = " ".join(text.STOPWORDS)
+STEMS = f"""list_distinct(flatten(list_transform(witness_tokens, lambda x: list_filter(regexp_extract_all(lower(x), '[a-z]+'), lambda w: length(w) >= 3 and not list_contains(string_split('{STOP}', ' '), w)))))"""
+
+
+def _stems(t: str) -> str:
+    return f"coalesce(len(stems) > 0 and len(list_filter(stems, lambda s: not regexp_matches(lower({t}), '\\b' || s))) = 0, false)"
+
+
+def _witness(t: str) -> str:
+    return f"coalesce(list_contains(list_transform(witness_tokens, lambda x: contains(lower({t}), lower(x))), true), false)"
 
 
 @query()
@@ -220,26 +239,42 @@ def scored_rates(spark: SparkSession, d: str) -> DataFrame:
     return labels.rates(scored_labels(spark, d), ["model_key", "condition"])
 
 
+PLAIN = f"""{LOG}, c as (select {_sq('id')} case_key, composition_event_id cluster, source, condition, witness_tokens, {STEMS} stems from cases where id is not null),
+u as (select usable.model_key, c.*, response from usable join c using (case_key)), k as (select model_key, cluster, response as clean from (select *, row_number() over (partition by model_key, cluster order by case_key desc) rn from u where condition = 'clean') where rn = 1),
+plain as (select model_key, case_key, cluster, source, condition, case when {_witness('response')} and not {_witness('clean')} then 'lexical_witness' when {_stems('response')} and not {_stems('clean')} then 'lexical_regex' end as tier from u join k using (model_key, cluster) where condition <> 'clean')"""
+
+
+@query(f"with {PLAIN} select model_key, case_key, cluster, source, condition, tier is not null as absorbed, tier from plain")
+def scored_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade over whole answers, without extracting spans."""
+    return scoring.score(_log(spark, d), table(spark, d, "cases"), spans=False).drop("clean_missing")
+
+
+@query(f"with {PLAIN} select condition, tier, count(*) as n from plain where tier is not null group by 1, 2")
+def scored_plain_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return scored_plain(spark, d).where("absorbed").groupBy("condition", "tier").agg(F.count("*").alias("n"))
+
+
+@query()
+def scored_entailed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cascade with the stand-in for a model of entailment."""
+    return scoring.score(_log(spark, d), table(spark, d, "cases"), scoring.WordEntailment)
+
+
 @query()
 def scored_tiers(spark: SparkSession, d: str) -> DataFrame:
     return scored_labels(spark, d).where("absorbed").groupBy("tier", "condition").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {LOG}, c as (select {_sq('id')} case_key, composition_event_id cluster, condition, witness_tokens from cases where id is not null),
-r as (select u.model_key, u.case_key, c.cluster, c.condition, list_contains(list_transform(witness_tokens, lambda x: contains(lower(response), lower(x))), true) w from usable u join c using (case_key)),
-k as (select model_key, cluster, bool_or(w) cw from (select *, row_number() over (partition by model_key, cluster order by case_key desc) rn from (select u.model_key, u.case_key, c.cluster, u.response from usable u join c using (case_key) where c.condition = 'clean')) q
- cross join (select null::boolean w) where rn = 1 group by 1, 2)
-select r.model_key, r.case_key, coalesce(w, false) as witness from r where condition <> 'clean'""")
+@query(f"""with {LOG}, c as (select {_sq('id')} case_key, condition, witness_tokens from cases where id is not null)
+select u.model_key, u.case_key, coalesce(list_contains(list_transform(witness_tokens, lambda x: contains(lower(response), lower(x))), true), false) as witness from usable u join c using (case_key) where condition <> 'clean'""")
 def witness_tier(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "cases").where("id is not null").select(squeezed(F.col("id")).alias("case_key"), "condition", "witness_tokens")
     return _log(spark, d).where(scoring.usable()).join(c, "case_key").where("condition <> 'clean'").select("model_key", "case_key", text.has_witness(F.col("response"), F.col("witness_tokens")).alias("witness"))
 
 
-ORACLE["witness_tier"] = f"""with {LOG}, c as (select {_sq('id')} case_key, condition, witness_tokens from cases where id is not null)
-select u.model_key, u.case_key, coalesce(list_contains(list_transform(witness_tokens, lambda x: contains(lower(response), lower(x))), true), false) as witness from usable u join c using (case_key) where condition <> 'clean'"""
-
-
-@query()
+@query(f"""with {LOG}, c as (select {_sq('id')} case_key, condition, {STEMS} stems from cases where id is not null)
+select u.model_key, u.case_key, {_stems('response')} as stems from usable u join c using (case_key) where condition <> 'clean'""")
 def stem_tier(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "cases").where("id is not null").select(squeezed(F.col("id")).alias("case_key"), "condition", "witness_tokens")
     return _log(spark, d).where(scoring.usable()).join(c, "case_key").where("condition <> 'clean'").select("model_key", "case_key", text.has_stems(F.col("response"), F.col("witness_tokens")).alias("stems"))
@@ -271,6 +306,40 @@ def paired_flags(spark: SparkSession, d: str) -> DataFrame:
     return audit.paired(_flagged(spark, d), "error", "newline")
 
 
+_GRID = f"""{LOG}, c as (select {_sq('id')} case_key, composition_event_id cluster, condition from cases where id is not null), run as (select l.model_key, c.* from log l join c using (case_key)),
+grid as (select s.model_key, c.case_key, c.cluster, c.condition, l.case_key is not null present, l.response, l.finish_reason, l.error from c join (select distinct model_key, cluster from run) s using (cluster)
+ join (select distinct model_key, condition from run) k on k.model_key = s.model_key and k.condition = c.condition left join log l on l.model_key = s.model_key and l.case_key = c.case_key),
+flags as (select model_key, case_key, cluster, condition, case when not present then ['missing'] else list_filter([case when coalesce(error, '') <> '' then 'error' end, case when coalesce(response, '') = '' then 'empty_response' end, case when finish_reason = 'length' then 'length_truncated' end,
+ case when finish_reason <> 'stop' then 'nonstop_finish' end, case when regexp_matches(left(response, 500), '{text.REFUSAL.replace("'", "''")}') then 'refusal_like' end], lambda x: x is not null) end as f from grid)"""
+
+
+@query(f"with {_GRID} select model_key, case_key, array_to_string(f, ',') as flags from flags")
+def plain_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The flags that don't hang on the artifact's span."""
+    rows = audit.plain_flags(audit.grid(_log(spark, d), table(spark, d, "cases")))
+    return rows.select("model_key", "case_key", F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"with {_GRID}, one as (select model_key, condition, unnest(f) flag from flags) select model_key, condition, flag, count(*) as n from one group by 1, 2, 3")
+def plain_flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit.plain_flags(audit.grid(_log(spark, d), table(spark, d, "cases")))
+    return rows.select("model_key", "condition", F.explode("flags").alias("flag")).groupBy("model_key", "condition", "flag").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_GRID}, e as (select model_key, cluster, bool_or(list_contains(f, 'error')) filter (where condition = 'clean') a, bool_or(list_contains(f, 'error')) filter (where condition = 'newline') b from flags group by 1, 2),
+p as (select model_key, count(*) filter (where a and b) both_, count(*) filter (where a and not b) x, count(*) filter (where b and not a) y, count(*) filter (where not a and not b) neither from e where a is not null and b is not null group by 1),
+t as (select p.*, least(x, y) k, x + y n from p), s as (select model_key, sum(exp(lp)) s from (select model_key, i, n, (select coalesce(sum(ln(n - j + 1) - ln(j)), 0) from range(1, i + 1) r(j)) - n * ln(2) as lp from (select *, unnest(range(0, k + 1)) i from t)) group by 1)
+select model_key, both_ as "both", x as clean_only, y as treated_only, neither, round(case when n = 0 then 1.0 else least(1.0, 2 * s) end, 9) as p from t join s using (model_key)""")
+def paired_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit.plain_flags(audit.grid(_log(spark, d), table(spark, d, "cases")))
+    return rounded(audit.paired(rows, "error", "newline"))
+
+
+@query()
+def syntax_rates(spark: SparkSession, d: str) -> DataFrame:
+    return audit.syntax_rates(_flagged(spark, d))
+
+
 # -- text
 
 
@@ -303,27 +372,51 @@ def case_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").where("message is not null").select("id", F.substring(F.sha2(F.col("message").cast("binary"), 256), 1, 12).alias("digest"), F.split_part("composition_event_id", F.lit(":"), F.lit(1)).alias("src"))
 
 
-@query("""select composition_event_id || ':' || condition || ':' || substr(sha256(m), 1, 12) as id, length(m)::int as n from (select *, task_instruction || chr(10) || chr(10) || artifact || case condition when 'clean' then '' when 'blank' then chr(10) || chr(10) || afterthought else chr(10) || afterthought end m
- from cases where condition in ('clean', 'newline', 'blank') and task_instruction is not null and artifact is not null and (condition = 'clean' or afterthought is not null))""")
+_BOUND = compose.BOUNDED
+MESSAGES = f"""t as (select composition_event_id cl, condition, task_instruction || case when condition = 'mitigation' then ' {_BOUND}' else '' end task, artifact, afterthought, condition in ('boundary', 'mitigation') tagged, substr(sha256(composition_event_id || ':0'), 1, 12) tok
+ from cases where task_instruction is not null and artifact is not null and (condition = 'clean' or afterthought is not null)),
+h as (select *, task || chr(10) || chr(10) || case when tagged then '<pasted-artifact-' || tok || '>' || chr(10) else '' end as head from t),
+m as (select *, head || artifact || case when tagged then chr(10) || '</pasted-artifact-' || tok || '>' else '' end || case condition when 'clean' then '' when 'newline' then chr(10) || afterthought when 'newline_R' then chr(10) || afterthought else chr(10) || chr(10) || afterthought end as msg from h)"""
+
+
+@query(f"""with {MESSAGES} select cl || ':' || condition || ':' || substr(sha256(msg), 1, 12) as id, sha256(msg) as digest, length(head)::int as artifact_start, (length(head) + length(artifact))::int as artifact_end,
+case when condition <> 'clean' then (length(msg) - length(afterthought))::int end as tail_start from m""")
 def compose_offsets(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "cases").where("condition in ('clean', 'newline', 'blank') and task_instruction is not null and artifact is not null and (condition = 'clean' or afterthought is not null)")
+    """All conditions of all cases composed anew."""
+    c = table(spark, d, "cases").where("task_instruction is not null and artifact is not null and (condition = 'clean' or afterthought is not null)")
     c = c.select(F.col("composition_event_id").alias("cluster"), "condition", F.col("task_instruction").alias("task"), "artifact", "afterthought")
-    return compose.composed(c).select("id", F.length("message").alias("n"))
+    seg = lambda i, f: F.get("segments", F.lit(i))[f]
+    return compose.composed(c).select("id", F.sha2(F.col("message").cast("binary"), 256).alias("digest"), seg(1, "seg_start").alias("artifact_start"), seg(1, "seg_end").alias("artifact_end"), seg(2, "seg_start").alias("tail_start"))
+
+
+# every case a second time with planted faults, so that there is something to find
+PLANTED = """cases2 as (select id, condition, witness_tokens, artifact, message, segments, boundary_delimiters, afterthought from cases union all
+ select id || ':x', condition, list_concat(witness_tokens, [split_part(artifact, ' ', 1)]), artifact, 'x' || message || coalesce(boundary_delimiters.opening, ''), segments, boundary_delimiters, coalesce(afterthought, 'planted') from cases)"""
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cases").select("id", "condition", "witness_tokens", "artifact", "message", "segments", "boundary_delimiters", "afterthought")
+    word = F.array(F.split_part("artifact", F.lit(" "), F.lit(1)))
+    twice = F.coalesce("boundary_delimiters.opening", F.lit(""))
+    x = c.withColumns({"id": F.concat("id", F.lit(":x")), "witness_tokens": F.when(F.col("witness_tokens").isNull(), word).otherwise(F.concat("witness_tokens", word)), "message": F.concat(F.lit("x"), "message", twice), "afterthought": F.coalesce("afterthought", F.lit("planted"))})
+    return c.unionByName(x)
 
 
-@query("""select id, 'short_witness' as violation from cases where list_contains(list_transform(witness_tokens, lambda x: len(regexp_split_to_array(trim(x), '\\s+')) < 2), true)
-union all select id, 'witness_in_artifact' from cases where list_contains(list_transform(witness_tokens, lambda x: contains(lower(artifact), lower(x))), true)
-union all select id, 'offset' from cases where list_contains(list_transform(segments, lambda s: substr(message, s.seg_start + 1, s.seg_end - s.seg_start) <> s.text), true)
-union all select id, 'tag_count' from cases where boundary_delimiters.opening is not null and length(message) - length(replace(message, boundary_delimiters.opening, '')) <> length(boundary_delimiters.opening)
-union all select id, 'clean_afterthought' from cases where condition = 'clean' and afterthought is not null""")
+@query(f"""with {PLANTED} select id, 'short_witness' as violation from cases2 where list_contains(list_transform(witness_tokens, lambda x: len(regexp_split_to_array(trim(x), '\\s+')) < 2), true)
+union all select id, 'witness_in_artifact' from cases2 where list_contains(list_transform(witness_tokens, lambda x: contains(lower(artifact), lower(x))), true)
+union all select id, 'offset' from cases2 where list_contains(list_transform(segments, lambda s: substr(message, s.seg_start + 1, s.seg_end - s.seg_start) <> s.text), true)
+union all select id, 'tag_count' from cases2 where boundary_delimiters.opening is not null and length(message) - length(replace(message, boundary_delimiters.opening, '')) <> length(boundary_delimiters.opening)
+union all select id, 'clean_afterthought' from cases2 where condition = 'clean' and afterthought is not null""")
 def validate_violations(spark: SparkSession, d: str) -> DataFrame:
-    return compose.violations(table(spark, d, "cases"))
+    return compose.violations(_planted(spark, d))
 
 
-@query("select h, n from (select sha256(artifact) h, count(distinct composition_event_id) n from cases where artifact is not null group by 1) where n > 1")
+@query("select h, n from (select sha256(artifact) h, count(distinct cl) n from (select artifact, composition_event_id cl from cases union all select artifact, composition_event_id || ':copy' from cases where condition = 'blank') where artifact is not null group by 1) where n > 1")
 def duplicate_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "cases").where("artifact is not null")
-    return c.groupBy(F.sha2(F.col("artifact").cast("binary"), 256).alias("h")).agg(F.count_distinct("composition_event_id").alias("n")).where("n > 1")
+    """Artifacts of more than one cluster; those of the cases of one condition are planted once more."""
+    c = table(spark, d, "cases").select("artifact", F.col("composition_event_id").alias("cl"), "condition")
+    c = c.unionByName(c.where("condition = 'blank'").withColumn("cl", F.concat("cl", F.lit(":copy")))).where("artifact is not null")
+    return c.groupBy(F.sha2(F.col("artifact").cast("binary"), 256).alias("h")).agg(F.count_distinct("cl").alias("n")).where("n > 1")
 
 
 @query("select source, min(n)::int lo, list_sort(list(n))[count(*) // 2 + 1]::int med, max(n)::int hi from (select source, length(artifact) n from cases where artifact is not null) group by 1")
@@ -342,11 +435,44 @@ def role_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").groupBy("condition", "afterthought_role").agg(F.count("*").alias("n"), F.count_distinct("composition_event_id").alias("clusters"))
 
 
-@query("select id, condition, coalesce(license, 'unknown') as license from (select id, condition, license from cases where condition <> 'newline_R' union all select id, condition, license from cases where condition = 'newline_R')")
+@query("""with a as (select distinct composition_event_id cl, afterthought from cases where condition = 'newline_R' and afterthought is not null),
+n as (select c.composition_event_id cl, c.source, task_instruction || chr(10) || chr(10) || artifact || chr(10) || a.afterthought as msg from cases c join a on a.cl = c.composition_event_id where c.condition = 'clean' and task_instruction is not null and artifact is not null)
+select id, condition, source, length(message)::int as chars from cases where condition <> 'newline_R' union all select cl || ':newline_R:' || substr(sha256(msg), 1, 12), 'newline_R', source, length(msg)::int from n""")
 def union_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """The cases of the other conditions, and newline_R built anew from the clean ones."""
     c = table(spark, d, "cases")
-    old, new = c.where("condition <> 'newline_R'").select("id", "condition", "license"), c.where("condition = 'newline_R'").select("id", "condition", "license")
-    return old.unionByName(new, allowMissingColumns=True).na.fill({"license": "unknown"})
+    tails = c.where("condition = 'newline_R' and afterthought is not null").select(F.col("composition_event_id").alias("cluster"), "afterthought").distinct()
+    new = building.with_condition(c.where("task_instruction is not null and artifact is not null"), tails)
+    keep = lambda x: x.select("id", "condition", "source", F.length("message").alias("chars"))
+    return keep(c.where("condition <> 'newline_R'")).unionByName(keep(new), allowMissingColumns=True)
+
+
+@query()
+def chosen_afterthoughts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cases").where("condition = 'clean'").select("id", "source", "artifact")
+    return building.chosen(c, building.casual_pool(), "source", "id", "artifact").select("id", "source", "afterthought_role", "afterthought")
+
+
+@query()
+def semantic_variants(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cases").where("condition = 'newline' and coalesce(afterthought, '') <> ''").select(F.col("composition_event_id").alias("cluster"), "condition", F.col("task_instruction").alias("task"), "artifact", "afterthought")
+    return compose.semantic_variant(c, "semantic_tags").select("id", F.length("message").alias("chars"))
+
+
+@query("""select composition_event_id as cluster, 'repeated' as problem from cases where composition_event_id is not null group by 1 having count(condition) > count(distinct condition)
+union all select composition_event_id, 'conditions' from cases group by 1 having list_sort(list(distinct condition) filter (where condition is not null)) <> ['blank', 'boundary', 'clean', 'mitigation', 'newline', 'newline_R']""")
+def incomplete_clusters(spark: SparkSession, d: str) -> DataFrame:
+    wanted = ["clean", "newline", "blank", "boundary", "mitigation", "newline_R"]
+    return building.incomplete(table(spark, d, "cases"), wanted).where("problem <> 'prefix' and cluster is not null")
+
+
+@query()
+def line_marked(spark: SparkSession, d: str) -> DataFrame:
+    """All artifacts with marked lines, and whether unmarking gives them back."""
+    c = table(spark, d, "cases").where("artifact is not null").select("id", "artifact", F.col("composition_event_id").alias("cluster"))
+    marker = compose.line_marker(F.col("artifact"), F.col("cluster"))
+    marked = compose.marked_lines(F.col("artifact"), marker)
+    return c.select("id", F.length(marked).alias("chars"), (compose.unmarked_lines(marked, marker) == F.col("artifact")).alias("same"))
 
 
 @query("""with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings where embedding is not null), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) l from e),
@@ -363,9 +489,9 @@ def collapsed_texts(spark: SparkSession, d: str) -> DataFrame:
     return mining.collapsed(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(r"""with p as (select doc_id, regexp_split_to_array(trim(text), '\n[ \t]*\n') parts from documents where text is not null) select doc_id from p where len(parts) >= 3 and length(parts[len(parts)]) <= 200 and length(parts[1]) <= 400""")
 def structural_screen(spark: SparkSession, d: str) -> DataFrame:
-    return mining.screened(table(spark, d, "documents").where("kind = 'message'"), "text").select("doc_id")
+    return mining.screened(table(spark, d, "documents"), "text").select("doc_id")
 
 
 @query()

@@ -1,12 +1,14 @@
 """Session helpers: where shared files go, and how lineage is cut.
 
 Nothing here writes to a machine-local folder on a cluster: the shared folder is the one the
-session names in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a
-temporary folder created and registered.
+session names in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests, a
+laptop) is a temporary folder created and registered; elsewhere that is an error. What was written is
+deleted when the driver ends, or by ``drop_written``.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -41,14 +43,44 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tracemill-")
     sc.setCheckpointDir(path)
     return path
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def drop_written(since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that this driver wrote to the shared folder after the mark ``since`` (see ``mark``), but for the last ``keep``.
+
+    Nothing that reads them may run after it.
+    """
+    old = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for spark, path in old:
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001 - the context is gone; the folder's owner clears what is left
+            return
+
+
+def mark() -> int:
+    """A mark for ``drop_written``: how many tables have been written."""
+    return len(_WRITTEN)
+
+
+atexit.register(drop_written)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
