@@ -11,34 +11,42 @@ spread over many tasks.
 Edge cases: documents without tokens (null or empty text) or of a source that is not listed, null
 included, take no part. Sources are compared in lower case without blanks at the edges. A listed
 source without documents or with a weight of zero or null gets share 0 and leaves its share to the
-others. ``max_repeats`` below 1 or null counts as 1. A document that crosses the end of the budget is
+others. Spellings of one listed source count once: their weights are added up, the least ``max_repeats`` holds. ``max_repeats`` below 1 or null counts as 1. A document that crosses the end of the budget is
 taken if more than half of it fits. Repeated texts under other ids are documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import FOLDER, count_tokens
 from tracemill.session import kept, written
 
-#: Ranges of the random key per source.
-RANGES = 1 << 12
+#: Ranges of the random key per source, as bits.
+RANGE_BITS = 12
+#: Blanks and invisible signs at the edges of a source's name.
+EDGES = r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$"
+
+
+def named(c: str) -> Column:
+    """A source's name in one spelling."""
+    return F.lower(F.regexp_replace(c, EDGES, ""))
 
 
 def sized(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """``doc_id, source, n_tokens, key`` of the documents that have tokens; written once, as it is read often."""
-    source = F.lower(F.regexp_replace("source", r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""))
-    rows = count_tokens(docs.select("doc_id", source.alias("source"), "text"), "text", "n_tokens", folder)
+    rows = docs.where("source is not null and text <> ''").select("doc_id", named("source").alias("source"), "text")
     key = F.xxhash64(F.lit("mix"), F.col("doc_id"))
-    return written(rows.where("n_tokens > 0 and source is not null").select("doc_id", "source", "n_tokens", key.alias("key")), "sized")
+    # written before it is filtered: a filter on the count would have every text tokenized once more
+    return written(count_tokens(rows, "text", "n_tokens", folder).select("doc_id", "source", "n_tokens", key.alias("key")), "sized").where("n_tokens > 0")
 
 
 def plan(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """One row per listed source: ``share, have, budget, epochs, rest``."""
-    t = targets.select(F.lower(F.trim("source")).alias("source"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), F.greatest(F.lit(1), F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    t = targets.select(named("source").alias("source"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), F.greatest(F.lit(1), F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    t = t.groupBy("source").agg(F.sum("weight").alias("weight"), F.min("max_repeats").alias("max_repeats"))
     have = docs.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n_docs"))
     t = t.where("source is not null").join(have, "source", "left").na.fill({"have": 0, "n_docs": 0})
     live = F.when((F.col("have") > 0) & (F.col("weight") > 0), F.col("weight")).otherwise(0.0)
@@ -54,10 +62,10 @@ def plan(docs: DataFrame, targets: DataFrame, total: float | None = None) -> Dat
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """``doc_id, source, copies, n_tokens``: the documents in the mix (see ``sized`` for ``docs``)."""
     p = kept(plan(docs, targets, total))
-    span = F.shiftrightunsigned("key", 52)
+    span = F.shiftrightunsigned("key", 64 - RANGE_BITS)
     d = docs.join(F.broadcast(p.select("source", "epochs", "rest", "max_repeats")), "source").withColumn("range", span)  # one row per listed source
     sums = d.groupBy("source", "range").agg(F.sum("n_tokens").alias("s"))
-    before = F.sum("s").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # at most RANGES rows a source
+    before = F.sum("s").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # at most 2 ** RANGE_BITS rows a source
     starts = sums.select("source", "range", F.coalesce(before, F.lit(0)).alias("start"))
     inside = F.sum("n_tokens").over(W.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     d = d.join(starts, ["source", "range"]).withColumn("upto", F.col("start") + inside)

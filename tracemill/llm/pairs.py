@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.spelling import squeezed
 from tracemill.llm import truncation
-from tracemill.session import written
+from tracemill.session import drop_written, mark, sized_broadcast, written
 
 #: Answers that the tagger is fitted on (all those to some cases), steps taken (as many at every size), their length, places of features.
 SAMPLE, STEPS, STEP, PLACES = 6000, 12000, 0.15, 1 << 13
@@ -52,6 +52,9 @@ ALONE, SHORT, LONG = 0.25, 0.35, 0.6
 #: Weight against ``answer`` at an answer's end: an exact check of unfinished ends follows, so doubt counts for them.
 LEAN = 3.0
 
+#: Cases whose keys are sent to all tasks (some 30 MB); of more cases the keys are joined.
+KEYS = 500_000
+
 #: Ends of clauses: an end mark (and a closing quote) before a blank, a full-width mark, a line break.
 CLAUSE = plain.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”’»)])\s+|(?<=[。！？।؟])(?=[^”」』）])|\s*[\r\n]+\s*")
 #: What doesn't count as an edit: layout, quoting and emphasis.
@@ -370,12 +373,15 @@ def defects(rows: list[tuple[str | None, str | None, str | None]], tagger: Tagge
 def found(results: DataFrame, cases: DataFrame) -> DataFrame:
     """``seq, defect`` of the defective rows of results."""
     spark = results.sparkSession
+    before = mark()
     cut = written(truncation.judged(results, cases).where("cut").select("ckey", "eid"), "cut")
+    drop_written(before, 1)
     case = cases.where("id is not null").select(squeezed(F.col("id")).alias("case_key"), "artifact", "task_instruction").dropDuplicates(["case_key"])
     prompt = case.withColumn("pk", F.xxhash64(F.coalesce("artifact", F.lit("\0")), F.coalesce("task_instruction", F.lit("\0"))))
     prompt = written(prompt, "prompts")
+    keys = sized_broadcast(prompt.select("case_key", "pk"), prompt.count(), KEYS)
     key = F.expr(f"coalesce({truncation.cluster('case_key')}, '')").alias("ckey")
-    rows = results.select("seq", squeezed(F.col("case_id")).alias("case_key"), "response").join(prompt.select("case_key", "pk"), "case_key", "left").select("seq", "pk", key, "response")
+    rows = results.select("seq", squeezed(F.col("case_id")).alias("case_key"), "response").join(keys, "case_key", "left").select("seq", "pk", key, "response")
     eid = F.when(F.col("response").isNotNull(), F.xxhash64("response")).otherwise(0)
     # answers to one prompt lie together, and each is tagged once
     texts = rows.groupBy("pk", "response").agg(F.min("ckey").alias("ckey"))

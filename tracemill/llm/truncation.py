@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.spelling import squeezed
-from tracemill.session import sized_broadcast, written
+from tracemill.session import drop_written, mark, sized_broadcast, written
 
 #: Last words that may be left out to find a known trigram, and words by which an edited ending may be shorter.
 BACK, EDIT = 5, 5
@@ -196,7 +196,9 @@ def judged(results: DataFrame, cases: DataFrame) -> DataFrame:
 
 def found(results: DataFrame, cases: DataFrame) -> DataFrame:
     """``seq`` of the cut rows of results."""
+    before = mark()
     cut = written(judged(results, cases).where("cut").select("ckey", "eid"), "cut")
+    drop_written(before, 1)
     cut.createOrReplaceTempView("_cut_found")
     return cut.sparkSession.sql("select seq from (select seq, ckey, xxhash64(response) as eid from _cut_rows) left semi join _cut_found using (ckey, eid)")
 
