@@ -232,3 +232,19 @@ def test_abbreviations_of_the_document_hold_in_all_its_paragraphs():
     shown, asked = "They met the abt. of Velm and the abt. of Orsal, as planned.", "It was abt. Orsal who came. We left the abt. The others stayed."
     got = [f[a:b] for f in [f"{shown}\n\n{asked}"] for a, b in sentences.sentences(f, {})]
     assert got == [shown, "It was abt. Orsal who came.", "We left the abt.", "The others stayed."]
+
+
+def test_both_ways_to_the_verdicts_agree_on_a_whole_table(spark):
+    import pathlib
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not pathlib.Path(path).exists():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(path)
+    whole = sorted(map(tuple, sentences.split(docs, "doc_id", "text").collect()))
+    sentences.SENT_AT_ONCE, keep = -1, sentences.SENT_AT_ONCE
+    try:
+        joined = sorted(map(tuple, sentences.split(docs, "doc_id", "text").collect()))
+    finally:
+        sentences.SENT_AT_ONCE = keep
+    assert joined == whole and len(whole) > 100
