@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import one_object
+from tracemill.functions.text import alone, one_object
 from tracemill.session import written
 
 #: Least cosine of two names' value profiles.
@@ -112,8 +112,11 @@ def fields(schema: str) -> list[tuple[str, str | None]]:
 
 def headers(raw: DataFrame) -> DataFrame:
     """The files' headers ``run_id, file_no, path, kind``."""
-    lines = parsed(raw.where("run_id is not null and file_no is not null")).select("run_id", "file_no", F.schema_of_variant("v").alias("schema"))
-    seen = written(lines.groupBy("run_id", "file_no", "schema").count().drop("count"), "schemas")
+    lines = raw.where("run_id is not null and file_no is not null").select("run_id", "file_no", "line", F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))).alias("v"))
+    # a filter on the parsed line would have it parsed once more, so unreadable lines go only after the few schemas are counted
+    lines = lines.select("run_id", "file_no", F.schema_of_variant("v").alias("schema"), alone(F.col("line"), F.col("v")).alias("alone"))
+    seen = lines.groupBy("run_id", "file_no", "schema", "alone").count().where("alone and schema like 'ARRAY<OBJECT<%'")
+    seen = written(seen.select("run_id", "file_no", F.expr("substring(schema, 7, length(schema) - 7)").alias("schema")), "schemas")
 
     def opened(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -130,9 +133,12 @@ def folded(kind: Column) -> Column:
 
 
 def profiles(raw: DataFrame, head: DataFrame) -> DataFrame:
-    """``path, profile``: the unit vector of what a name's values look like over all files."""
+    """``path, profile``: the unit vector of what a name's values look like over all files.
+
+    Only names of the headers count. A line with something after its object still tells what its values look like.
+    """
     depth = head.agg(F.max(F.size(F.split("path", r"\."))).alias("d")).first().d or 0
-    level = parsed(raw.where("run_id is not null and file_no is not null")).select(F.lit("").alias("path"), F.col("line").alias("text"))
+    level = raw.where("run_id is not null and file_no is not null").select(F.lit("").alias("path"), F.col("line").alias("text"))
     cells = None
     for d in range(depth):
         # one level of nesting after the other, as deep as the headers go; a value's text is all that is needed
@@ -143,23 +149,28 @@ def profiles(raw: DataFrame, head: DataFrame) -> DataFrame:
     if cells is None:
         return written(head.select("path", F.create_map(F.lit(""), F.lit(0.0)).alias("profile")).limit(0), "profiles")
     names = head.select("path").distinct()
-    counts = cells.select("path", signs(F.col("text")).alias("sign")).where("sign is not null").groupBy("path", "sign").count().join(names, "path", "left_semi")
+    # filtered after counting: a filter before would have all signs read twice
+    counts = cells.select("path", signs(F.col("text")).alias("sign")).groupBy("path", "sign").count().where("sign is not null").join(names, "path", "left_semi")
     profile = counts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("sign", "count"))).alias("p"))  # some hundreds of signs
     unit = F.sqrt(F.aggregate(F.map_values("p"), F.lit(0.0), lambda a, x: a + x * x))
     return written(profile.select("path", F.transform_values("p", lambda _, x: x / unit).alias("profile")), "profiles")
 
 
 def signs(text: Column) -> Column:
-    """What a value looks like, as one of some hundreds of words however many values there are."""
+    """What a value looks like, as one of some hundreds of words however many values there are.
+
+    Texts of up to 40 signs may be a number (with a unit) or a word; all others are told by how many words and marks they have.
+    """
     bare = F.regexp_replace(F.lower(F.trim(text)), r"(?<=\d)\s*[a-z]{1,3}$", "")
-    num = bare.try_cast("double")
+    # most texts aren't numbers, and failing to read one is dear
+    num = F.when(bare.rlike(r"^[-+.]?\d"), bare.try_cast("double"))
     small = F.concat(F.lit("n="), F.round(num, 2).cast("string"))
     size = F.concat(F.lit("e"), F.floor(F.log2(F.abs(num) + 1)).cast("string"))
-    word = F.concat(F.lit("w"), F.pmod(F.xxhash64(bare), F.lit(97)).cast("string"))
-    marks = F.length(F.regexp_replace(text, r"[^:/@]", ""))
-    shape = F.concat(F.lit("s"), F.least(F.lit(6), F.size(F.split(text, r"\s+"))).cast("string"), F.lit(":"), F.least(F.lit(4), marks).cast("string"))
+    word = F.when((F.length(bare) <= 16) & ~bare.rlike(r"\s"), F.concat(F.lit("w"), F.pmod(F.xxhash64(bare), F.lit(97)).cast("string")))
+    marks = F.length(text) - F.length(F.regexp_replace(text, "[:/@]+", ""))
+    shape = F.concat(F.lit("s"), F.least(F.lit(6), F.size(F.split(text, r"\s+", 7))).cast("string"), F.lit(":"), F.least(F.lit(4), marks).cast("string"))
     whole = F.when(F.abs(num) < 100, small).when(num.isNotNull(), size)
-    return F.when(text.isNotNull(), F.coalesce(whole, F.when((F.length(bare) <= 16) & ~bare.rlike(r"\s"), word).otherwise(shape)))
+    return F.when(text.isNotNull(), F.when(F.length(text) <= 40, F.coalesce(whole, word, shape)).otherwise(shape))
 
 
 def agreement(a: Column, b: Column) -> Column:
