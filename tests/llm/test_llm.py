@@ -130,6 +130,21 @@ def test_whole_thai_answers_end_without_a_mark(spark):
     assert truncation.found(res, case).count() == 0
 
 
+def test_ends_are_joined_with_all_counts_at_once(spark):
+    case = spark.createDataFrame([("s:1:clean:x", ART, REF, None, "Fix this:", "s")], CASES)
+    res = spark.createDataFrame([(k, "s:1:clean:x", REF[: 40 + k]) for k in range(60)], "seq long, case_id string, response string")
+    plan = truncation.judged(res, case)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 4  # the ends, the sizes of cases, the trigrams asked for and their counts
+
+
+def test_words_are_runs_of_letters_marks_and_digits(spark):
+    texts = ["", " _ ", "Two_words, it's 3.5x ", "ÉTÉ naïve é ½ Ⅳ", "委员会b整理", "กรรมการ ตรวจ", "İstanbul 🙂ok", "a­b​c", "राम है।"]
+    words = [[], [], ["two", "words", "it", "s", "3", "5x"], ["été", "naïve", "é", "½", "ⅳ"], ["委", "员", "会", "b", "整", "理"], [*"กรรมการตรวจ"], ["i̇stanbul", "ok"], ["a", "b", "c"], ["राम", "है"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").selectExpr("i", f"{truncation._words('t')} as w", f"{truncation._first_word('t')} as first").orderBy("i")
+    got = df.collect()
+    assert [r.w for r in got] == words and [r["first"] for r in got] == [(w or [""])[0] for w in words]
+
+
 def test_pair_defects(spark):
     case = spark.createDataFrame([(f"s:{k}:clean:x", ART + f" Case {k}.", None, None, "Fix this text:", "s") for k in range(6)], CASES)
     answers = {
