@@ -1,6 +1,7 @@
 """The text operators on small fixtures, brute force and round trips, with their edge cases."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,17 @@ def tagger(refusals=REFUSALS):
     return pairs.fit(rows)
 
 
+def test_clauses_are_cut_alike_with_and_without_full_marks_and_in_time():
+    texts = ["One.  Two?\n\nthree \n “Four!” five", "a .\x0b b…»\r\nc", " \n", "x.\n", "Ünd. \t so – weiter\n"]
+    for t in texts:
+        assert [c for c in pairs.clauses(t) if c] == [c for c in pairs.CLAUSE.split(t) if c]
+        assert pairs.clauses(t + "。z")[-1] == "z"
+    began = time.process_time()
+    p = pairs.Prompt(ART, "Fix:")
+    assert [len(p.cut("a" + " " * 60_000 + x)) for x in ("b", "b。c", "\nb", ". b")] == [1, 2, 2, 2]
+    assert time.process_time() - began < 3
+
+
 def test_labels_come_from_agreement():
     p = pairs.Prompt(ART, "Fix:")
     answers = [*EDITED, "I cannot do this.", FRENCH, ART, REF[:60]]

@@ -56,9 +56,13 @@ LEAN = 3.0
 KEYS = 500_000
 
 #: Ends of clauses: an end mark (and a closing quote) before a blank, a full-width mark, a line break.
-CLAUSE = plain.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”’»)])\s+|(?<=[。！？।؟])(?=[^”」』）])|\s*[\r\n]+\s*")
+CLAUSE = plain.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”’»)])\s+|(?<=[。！？।؟])(?=[^”」』）])|(?<!\s)\s*[\r\n]+\s*")
+#: The same for texts without full-width marks: only the first of some blanks is looked at, where ``CLAUSE`` tries every sign.
+BLANK = plain.compile(r"\s(?<!\s\s)(?:(?<=[.!?…]\s)\s*|(?<=[.!?…][\"”’»)]\s)\s*|(?<=[\r\n])\s*|\s*[\r\n]\s*)")
+FULL = plain.compile(r"[。！？।؟]")
 #: What doesn't count as an edit: layout, quoting and emphasis.
 LAYOUT = re.compile(r"[\s\p{Z}\p{Cf}\"'“”„‘’«»`>*~|]+")
+LAYOUT_ASCII = {i: None for i in range(128) if LAYOUT.match(chr(i))}
 INVISIBLE = re.compile(r"[\s\p{Z}\p{Cc}\p{Cf}\p{Mn}]+")
 WRAPPER = re.compile(r"```[\w+-]*|~~~|</?[\p{L}][^<>]{0,60}>|[\"“”'‘’`*_#>{}\[\]()|-]")
 #: Placeholders for an answer, opening lines and remarks (fixed lists).
@@ -81,6 +85,7 @@ SCRIPTS = [("zh", r"\p{Han}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("ru", r"\
 SCRIPTS = [(k, re.compile(p)) for k, p in SCRIPTS]
 #: Names of languages in instructions (fixed list).
 NAMED = {"german": "de", "french": "fr", "spanish": "es", "english": "en", "italian": "it", "portuguese": "pt", "russian": "ru", "greek": "el", "arabic": "ar", "hindi": "hi", "chinese": "zh", "japanese": "ja", "thai": "th", "korean": "ko", "hebrew": "he", "deutsch": "de", "französisch": "fr", "englisch": "en", "spanisch": "es", "español": "es", "inglés": "en", "francés": "fr", "alemán": "de", "anglais": "en", "allemand": "de", "espagnol": "es", "français": "fr"}
+NAMING = {k: re.compile(rf"\b(?:into|in|to|a|an|auf|ins|en|al?|au)\s+{k}\b|\b{k}\s+version\b") for k in NAMED}
 WORDS = re.compile(r"[\p{L}\p{M}'’]+|\d+")
 
 
@@ -110,7 +115,12 @@ def word_place(w: str) -> int:
 
 
 def bare(s: str) -> str:
-    return LAYOUT.sub("", s).lower()
+    return (s.translate(LAYOUT_ASCII) if s.isascii() else LAYOUT.sub("", s)).lower()
+
+
+def clauses(s: str) -> list[str]:
+    """The clauses of a text."""
+    return (BLANK if s.isascii() or not FULL.search(s) else CLAUSE).split(s)
 
 
 def hollow(s: str) -> bool:
@@ -151,7 +161,7 @@ class Prompt:
         artifact, instruction = artifact or "", instruction or ""
         low = instruction.lower()
         self.code = bool(re.search(r"(?m)^\s*(?:def |class |return\b|import |for .*:$)|[;{}]\s*$", artifact))
-        named = next((v for k, v in NAMED.items() if re.search(rf"\b(?:into|in|to|a|an|auf|ins|en|al?|au)\s+{k}\b|\b{k}\s+version\b", low)), "")
+        named = next((NAMED[k] for k, x in NAMING.items() if k in low and x.search(low)), "")
         ws = WORDS.findall(artifact.lower())
         self.pairs = {p: i for i, p in enumerate(zip(ws, ws[1:], strict=False))}
         self.words = len(ws)
@@ -162,10 +172,10 @@ class Prompt:
     def cut(self, answer: str) -> list[Clause]:
         """The clauses of an answer; those with nothing visible are left out."""
         out = []
-        for c in CLAUSE.split(answer):
+        for c in clauses(answer):
             k = self.clauses.get(c)
             if k is None:
-                if not c or INVISIBLE.fullmatch(c):
+                if not c or not c[0].isalnum() and INVISIBLE.fullmatch(c):
                     continue
                 k = self.clauses[c] = Clause(c, self)
             out.append(k)
@@ -229,20 +239,21 @@ class Tagger:
             self.t -= rate * 0.2 * q
             self.t[gold[i - 1], gold[i]] += rate * 0.2
 
-    def emission(self, c: Clause, code: int) -> np.ndarray:
-        if c.weight is None:
-            c.weight = self.w[c.static].sum(0)
-        k = self.of_place.get(code)
-        if k is None:
-            k = self.of_place[code] = self.w[place_features(code)].sum(0) + (-LEAN * (np.arange(5) == A) if code % 8 else 0)
-        return c.weight + k
+    def emissions(self, clauses: list[Clause], codes: list[int]) -> np.ndarray:
+        """A row of weights for each clause at its place; those of a clause are summed once."""
+        for c in clauses:
+            if c.weight is None:
+                c.weight = self.w[c.static].sum(0)
+        for code in set(codes) - self.of_place.keys():
+            self.of_place[code] = self.w[place_features(code)].sum(0) + (-LEAN * (np.arange(5) == A) if code % 8 else 0)
+        return np.array([c.weight for c in clauses]) + np.array([self.of_place[k] for k in codes])
 
     def tag(self, answers: list[tuple[Prompt, list[Clause]]]) -> list[list[int]]:
         """The likeliest tags of many answers at once."""
         lens = np.array([len(c) for _, c in answers], np.int64)
         if not lens.sum():
             return [[] for _ in answers]
-        flat = np.array([self.emission(c, k) for p, cs in answers if cs for c, k in zip(cs, places(p, cs), strict=True)])
+        flat = self.emissions([c for _, cs in answers for c in cs], [k for p, cs in answers if cs for k in places(p, cs)])
         starts = np.cumsum(lens) - lens
         order = np.argsort(-lens, kind="stable")  # longest first, so that the running ones are always a prefix
         lens_, starts_ = lens[order], starts[order]
@@ -254,16 +265,14 @@ class Tagger:
             m = best[:live, :, None] + self.t
             back.append(m.argmax(1))
             best[:live] = m.max(1) + flat[starts_[:live] + i]
-        last = best.argmax(1)
-        out: list[list[int]] = [[] for _ in answers]
-        for j in range(len(best)):
-            t = int(last[j])
-            tags = [t]
-            for i in range(int(lens_[j]) - 2, -1, -1):
-                t = int(back[i][j, t])
-                tags.append(t)
-            out[order[j]] = tags[::-1]
-        return out
+        # back from each answer's end, all that reach a place at once
+        tags = np.zeros(len(flat), np.int64)
+        tags[(starts_ + lens_ - 1)[: len(best)]] = best.argmax(1)
+        for i in range(len(back) - 1, -1, -1):
+            at = starts_[: len(back[i])] + i
+            tags[at] = back[i][np.arange(len(at)), tags[at + 1]]
+        told = tags.tolist()
+        return [told[a : a + n] for a, n in zip(starts.tolist(), lens.tolist(), strict=True)]
 
 
 def labels(p: Prompt, answers: list[list[Clause]], cut: list[bool]) -> list[list[int] | None]:
